@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm.op03_toxicity import op3_toxicity
 from auditloom.llm.op08_quality import op8_quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
