@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm.op03_toxicity import op3_toxicity
+from auditloom.llm.op06_rules import SQL as SQL6
+from auditloom.llm.op06_rules import op6_quality_rules
 from auditloom.llm.op08_quality import op8_quality_classifier
+from auditloom.llm.op10_urls import SQL as SQL10
+from auditloom.llm.op10_urls import op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": SQL6,
+    "op10_url_filters": SQL10,
+}
