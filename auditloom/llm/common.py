@@ -48,3 +48,18 @@ def in_blocks(batches: Iterable[pa.RecordBatch], column: str, chars: int) -> Ite
                 start, size = i, 0
             size += v or 0
         yield b.slice(start)
+
+
+def id_blocks(df: DataFrame, key: str, rows: int = 4096) -> Column:
+    """A block number that grows with ``key``, an integer: blocks hold about ``rows`` rows where ids are spread evenly
+    and any number where they are not.  Null keys come last, in a block of their own."""
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    width = max(1, (hi - lo + 1) * rows // n) if n else 1
+    return F.coalesce(F.expr(f"`{key}` div {width}L"), F.lit((1 << 63) - 1))
+
+
+def shingle_hashes(w: Column, n: int = 5) -> Column:
+    """64-bit hashes of the ``n``-word windows of an array of words, in order; fewer words make one shingle, none none."""
+    size = F.size(w)
+    hashes = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return F.when(size >= n, hashes).when(size > 0, F.array(F.xxhash64(w, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm.op02_mixing import op2_mixing
 from auditloom.llm.op03_toxicity import op3_toxicity
+from auditloom.llm.op04_fingerprints import op4_fingerprints
 from auditloom.llm.op06_rules import SQL as SQL6
 from auditloom.llm.op06_rules import op6_quality_rules
 from auditloom.llm.op08_quality import op8_quality_classifier
@@ -14,7 +16,9 @@ from auditloom.llm.op10_urls import SQL as SQL10
 from auditloom.llm.op10_urls import op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_url_filters": op10_url_filters,
