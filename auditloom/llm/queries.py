@@ -6,25 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.llm.op01_ngram_join import op1_ngram_join
 from auditloom.llm.op02_mixing import op2_mixing
 from auditloom.llm.op03_toxicity import op3_toxicity
 from auditloom.llm.op04_fingerprints import op4_fingerprints
 from auditloom.llm.op06_rules import SQL as SQL6
 from auditloom.llm.op06_rules import op6_quality_rules
+from auditloom.llm.op07_bpe import op7_bpe
 from auditloom.llm.op08_quality import op8_quality_classifier
+from auditloom.llm.op09_warc import SQL as SQL9
+from auditloom.llm.op09_warc import op9_warc
 from auditloom.llm.op10_urls import SQL as SQL10
 from auditloom.llm.op10_urls import op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_fingerprints": op4_fingerprints,
     "op6_quality_rules": op6_quality_rules,
+    "op7_bpe": op7_bpe,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": SQL6,
+    "op9_warc": SQL9,
     "op10_url_filters": SQL10,
 }
