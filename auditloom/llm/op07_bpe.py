@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm.common import in_blocks, table
 
@@ -151,9 +152,9 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     cols = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = cols.index(text_col)
-    schema = docs.select(*cols).schema.add("ids", "array<int>")
+    schema = docs.select(*cols).schema.add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
-        schema = schema.add("decoded", "string")
+        schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)

@@ -92,7 +92,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = 1
                     path, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
                     where, inner = _open(path)
                     where.create_dir(inner.rpartition("/")[0], recursive=True)
-                    out = where.open_output_stream(inner)
+                    out = where.open_output_stream(inner, compression=None)  # members are compressed already
                 out.write(got := record(page_id, url, payload, bytes.fromhex(sha1), refers_to, revisit))
                 size += len(got)
                 if size >= file_bytes:
@@ -132,7 +132,7 @@ def members(f, start: int, end: int, chunk: int = 1 << 18) -> Iterator[tuple[int
                     good = b"".join(parts)[:7] == b"WARC/1."
                     if not good:
                         break
-                data = b"" if z.eof else f.read(chunk) if used <= len(buf) - hit else f.read(chunk)
+                data = b"" if z.eof else f.read(chunk)
         except zlib.error:
             good = False
         if good and z.eof:

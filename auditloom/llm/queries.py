@@ -10,6 +10,7 @@ from auditloom.llm.op01_ngram_join import op1_ngram_join
 from auditloom.llm.op02_mixing import op2_mixing
 from auditloom.llm.op03_toxicity import op3_toxicity
 from auditloom.llm.op04_fingerprints import op4_fingerprints
+from auditloom.llm.op05_line_dedup import op5_line_dedup
 from auditloom.llm.op06_rules import SQL as SQL6
 from auditloom.llm.op06_rules import op6_quality_rules
 from auditloom.llm.op07_bpe import op7_bpe
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_fingerprints": op4_fingerprints,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_quality_classifier": op8_quality_classifier,
