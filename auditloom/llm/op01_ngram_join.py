@@ -41,7 +41,7 @@ N = 5
 #: Similarity as a fraction of whole numbers: 100 * shared >= 80 * union.
 PERCENT = 80
 #: Characters of text to a bucket of hashes: a bucket holds about a sixth as many shingles, ten bytes each.
-BUCKET_CHARS = 24 << 20
+BUCKET_CHARS = 8 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Hash of each word, filled on demand and emptied when it holds too many."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -91,7 +91,7 @@ def _deal(buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, count = WordHashes(), TaskContext.get().partitionId(), 0
-        for b in in_blocks(batches, "text", 16 << 20):
+        for b in in_blocks(batches, "text", 6 << 20):
             batch, count = part << 24 | count, count + 1
             meta = np.zeros(b.num_rows, dtype=_META)
             all_h, all_d, seen = [], [], {}
