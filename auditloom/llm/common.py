@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: an expression used inside a lambda is otherwise computed anew for each
+    element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAP}|{GAP}$", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, GAP)).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(trimmed, GAP), "")
 
 
 def n_words(text: Column) -> Column:
@@ -60,6 +66,10 @@ def id_blocks(df: DataFrame, key: str, rows: int = 4096) -> Column:
 
 def shingle_hashes(w: Column, n: int = 5) -> Column:
     """64-bit hashes of the ``n``-word windows of an array of words, in order; fewer words make one shingle, none none."""
-    size = F.size(w)
-    hashes = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    return F.when(size >= n, hashes).when(size > 0, F.array(F.xxhash64(w, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        hashes = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(size >= n, hashes).when(size > 0, F.array(F.xxhash64(w, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(w, of)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_blocks, n_words, table, words
+from auditloom.llm.common import id_blocks, let, n_words, table, words
 
 BLOCK = 64
 SHARD = 8192
@@ -152,8 +152,8 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     j = j.withColumn("_r", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])).cast("int"))))
     j = j.withColumn("_p", F.filter("parts", lambda p: p["times"] >= F.col("_r")))
     n = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["end"] - p["start"])
-    w = words(F.col("text"))
-    some = F.array_join(F.flatten(F.transform("_p", lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))), " ")
+    cut = lambda w: F.flatten(F.transform("_p", lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))))
+    some = F.array_join(let(words(F.col("text")), cut), " ")
     j = j.withColumn("text", F.when(n == F.col("size"), F.col("text")).otherwise(some))
     if "n_chars" in cols:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

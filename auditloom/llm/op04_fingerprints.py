@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import id_blocks, shingle_hashes, table, words
+from auditloom.llm.common import id_blocks, let, shingle_hashes, table, words
 
 K = 128
 
@@ -33,9 +33,8 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Of the ``k`` smallest hashes of both together, the share that both hold."""
-    both = merge(a, b, k)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+    shared = lambda both: F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.greatest(F.size(both), F.lit(1))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(merge(a, b, k), shared))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
