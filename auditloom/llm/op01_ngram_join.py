@@ -10,9 +10,10 @@ How it stays whole and bounded:
 * Shingles that one text alone holds cannot link anything.  A first pass deals every shingle hash, packed, to the
   bucket of its hash range, where the number of its holders is counted; only shingles with two holders or more return to
   the batch they came from.  They suffice to verify, since an intersection has no others.
-* Only components are wanted.  So a key's groups are first compared with one leader each (a number of pairs in
-  proportion to the keys), components are formed, and only then are pairs of one key compared that still lie in
-  different components: large groups of copies never become all their pairs, and no link that matters is lost.
+* Only components are wanted.  So a key's groups are first compared with one leader (a number of pairs in proportion to
+  the keys), components are formed, and only keys with groups in different components stay.  After some such rounds,
+  with leaders drawn anew, the pairs of one key that still lie apart are compared in full: large groups of copies
+  never become all their pairs, and no link that matters is lost.
 
 Shingles are compared by 64-bit hashes.
 
@@ -40,6 +41,8 @@ from auditloom.plans.staging import stage
 N = 5
 #: Similarity as a fraction of whole numbers: 100 * shared >= 80 * union.
 PERCENT = 80
+#: Rounds in which groups are compared with leaders only.
+LEADERS = 3
 #: Characters of text to a bucket of hashes: a bucket holds about a sixth as many shingles, ten bytes each.
 BUCKET_CHARS = 8 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -200,46 +203,65 @@ def _fits(x: Column, y: Column, percent: int) -> Column:
     return (100 * F.least(x, y)) >= percent * F.greatest(x, y)
 
 
+def _reaches(n: str, p: str, m: str, r: str, percent: int) -> Column:
+    """Whether sets of the sizes n and m whose first common shingle is at the places p and r can still be similar: what they
+    share lies at those places or behind them."""
+    most = F.least(F.col(n) - F.col(p), F.col(m) - F.col(r))
+    return (100 + percent) * most >= percent * (F.col(n) + F.col(m))
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members maps doc_id to its class (n, f1, f2 and c, the smallest id with that set); links
     holds similar pairs of classes, enough of them to connect every component."""
     rows = sets(docs, percent)
     full = rows.where("n > 0")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("c"), F.max("m").alias("m"), F.max("lone").alias("lone"), F.first("tokens", ignorenulls=True).alias("tokens"))
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("c"), F.max("m").alias("m"), F.min("lone").alias("lone"), F.first("tokens", ignorenulls=True).alias("tokens"))
     classes = stage(classes, "classes")
     own = classes.where("m > 0").withColumn("prefix", F.slice("tokens", F.lit(1), F.col("m")))
     # groups: equal prefixes and sizes; with a lone shingle in the prefix a class is a group by itself
     key = F.when(F.col("lone") == 0, F.xxhash64("prefix")).otherwise(F.col("c"))
-    own = own.select("c", "n", "prefix", key.alias("k"), (F.col("lone") == 0).alias("z"))
-    groups = own.groupBy("n", "z", "k").agg(F.min("c").alias("g"), F.first("prefix").alias("prefix"))
+    own = own.select("c", "n", "lone", "prefix", key.alias("k"), (F.col("lone") == 0).alias("z"))
+    groups = own.groupBy("n", "z", "k").agg(F.min("c").alias("g"), F.first("prefix").alias("prefix"), F.first("lone").alias("lone"))
     members = stage(own.join(groups.select("n", "z", "k", "g"), ["n", "z", "k"]).select("c", "g", "n"), "members")
-    # a size band is narrow enough that its sizes fit each other
+    # a size band is narrow enough that its sizes fit each other; p is a shingle's place in the group's whole order
     band = F.floor(F.log(F.col("n")) / F.lit(-np.log(percent / 100)))
-    keys = stage(groups.select("g", "n", band.alias("band"), F.explode("prefix").alias("h")), "keys")
-    stars = []
-    for salt in (None, 1):  # leaders: the smallest id, and one chosen at random for all keys
-        rank = F.struct((F.col("g") if salt is None else F.xxhash64("g", F.lit(salt))).alias("r"), "g")
-        lead = keys.groupBy("h", "band").agg(F.min(rank).alias("_l"), F.count("*").alias("_n")).where("_n > 1").select("h", "band", F.col("_l.g").alias("l"))
-        stars.append(keys.join(lead, ["h", "band"]).where("g != l").select(F.least("g", "l").alias("a"), F.greatest("g", "l").alias("b")))
-    inside = members.where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    first = stars[0].unionByName(stars[1]).unionByName(inside).distinct()
-    links = stage(_linked(first, classes, percent), "links")
-    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), "component")
-    # what is left: pairs of one key whose classes are in different components
-    placed = stage(members.join(comp, "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("q")), "placed")
-    of = placed.groupBy("g").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
-    kq = keys.join(of, "g")
-    open_ = kq.groupBy("h").agg(F.min("q0").alias("_0"), F.max("q1").alias("_1")).where("_0 != _1").select("h")
-    kq = stage(kq.join(open_, "h"), "open")
-    x = kq.select("h", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("q0").alias("xa"), F.col("q1").alias("ya"))
-    y = kq.select("h", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("q0").alias("xb"), F.col("q1").alias("yb"))
-    settled = (F.col("xa") == F.col("ya")) & (F.col("xb") == F.col("yb")) & (F.col("xa") == F.col("xb"))
-    gp = x.join(y, "h").where((F.col("ga") <= F.col("gb")) & _fits(F.col("na"), F.col("nb"), percent) & ~settled).select("ga", "gb").distinct()
-    ma = placed.select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("q").alias("qa"))
-    mb = placed.select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("q").alias("qb"))
-    rest = gp.join(ma, "ga").join(mb, "gb").where((F.col("qa") != F.col("qb")) & (F.col("a") != F.col("b")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(stage(_linked(rest, classes, percent), "links"))
+    keys = stage(groups.select("g", "n", "lone", band.alias("band"), F.posexplode("prefix").alias("p", "h")).withColumn("p", F.col("p") + F.col("lone")).drop("lone"), "keys")
+    links: DataFrame | None = None
+    placed = members.select("c", "g", "n", F.col("c").alias("q"))
+    open_keys = keys.withColumn("q", F.lit(None).cast("long"))
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            # one leader for each key and band: the smallest id first, then one drawn anew for every key
+            drawn = F.col("g") if turn == 0 else F.xxhash64("g", "h", F.lit(turn))
+            lead = open_keys.groupBy("h", "band").agg(F.min(F.struct(drawn.alias("r"), "g", "n", "p", "q")).alias("_l"), F.count("*").alias("_n"))
+            lead = lead.where("_n > 1").select("h", "band", F.col("_l.g").alias("l"), F.col("_l.n").alias("nl"), F.col("_l.p").alias("pl"), F.col("_l.q").alias("ql"))
+            near = open_keys.join(lead, ["h", "band"]).where((F.col("g") != F.col("l")) & _reaches("n", "p", "nl", "pl", percent))
+            near = near.where(~F.coalesce(F.col("q") == F.col("ql"), F.lit(False)))
+            pairs = near.select(F.least("g", "l").alias("a"), F.greatest("g", "l").alias("b"))
+            if turn == 0:
+                pairs = pairs.unionByName(members.where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b")))
+        else:
+            # whatever is still apart, in full
+            x = open_keys.select("h", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa"))
+            y = open_keys.select("h", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"))
+            apart = ~F.coalesce(F.col("qa") == F.col("qb"), F.lit(False))
+            gp = x.join(y, "h").where((F.col("ga") <= F.col("gb")) & apart & _fits(F.col("na"), F.col("nb"), percent) & _reaches("na", "pa", "nb", "pb", percent)).select("ga", "gb").distinct()
+            ma = placed.select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("q").alias("qa"))
+            mb = placed.select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("q").alias("qb"))
+            rest = gp.join(ma, "ga").join(mb, "gb").where((F.col("qa") != F.col("qb")) & (F.col("a") != F.col("b")))
+            pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = stage(_linked(pairs.distinct(), classes, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        if turn == LEADERS:
+            break
+        comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), "component")
+        placed = stage(members.join(comp, "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("q")), "placed")
+        # a group's component, null if its members are in several
+        of = placed.groupBy("g").agg(F.min("q").alias("_0"), F.max("q").alias("_1")).select("g", F.when(F.col("_0") == F.col("_1"), F.col("_0")).alias("q"))
+        kq = keys.join(of, "g")
+        # a key with groups of one component only has nothing more to tell
+        apart = kq.groupBy("h").agg(F.min("q").alias("_0"), F.max("q").alias("_1"), F.count_if(F.col("q").isNull()).alias("_n")).where("_0 != _1 OR _n > 0").select("h")
+        open_keys = stage(kq.join(apart, "h"), "open")
     return rows, classes, links
 
 
