@@ -2,5 +2,281 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditloom.functions import text as X
+from auditloom.functions import urls as U
+from auditloom.functions.constants import DEFAULT_WIDTH, WIDTHS
+from auditloom.operators import catalog, depth, diff, page_rules, reports, site_rules
+from auditloom.operators.near import near_duplicates
+from auditloom.plans import derived
+from auditloom.plans.model import Crawl
+from auditloom.sources import html
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _fx(sql: str) -> str:
+    return f"WITH RECURSIVE {derived.FX}, {derived.AFTER}, {sql}" if sql.lstrip().startswith("w_") else f"WITH {derived.FX}, {derived.AFTER} {sql}"
+
+
+# -- one page at a time: the tables' own HTML ------------------------------------------------------------------------
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, parsed; every one counts as an indexable answer of status 200."""
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    more = {"status_code": F.lit(200), "is_html": F.lit(True), "is_indexable": F.lit(True), "indexability_reason": F.lit(None).cast("string"), "ttfb_ms": F.lit(None).cast("int"), "x_robots_tag": F.lit(None).cast("string")}
+    return html.parse(raw).withColumns(more)
+
+
+_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+_DECODED = f"trim(regexp_replace(replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_BODY = "regexp_replace(regexp_replace(html, '(?s)<(head|title)[^>]*>.*?</(head|title)>|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_WORDS = rf"len(regexp_extract_all({_BODY}, '\S+'))"
+_PAGE_ORACLES = {
+    "META-TITLE-MISSING": f"trim({_TITLE}) = ''",
+    "META-TITLE-TOO-SHORT": f"trim({_TITLE}) <> '' AND length(trim({_TITLE})) < 30",
+    "META-DESC-MISSING": "NOT regexp_matches(html, '<meta[^>]*name=.description')",
+    "META-VIEWPORT-MISSING": "NOT regexp_matches(html, '<meta[^>]*name=.viewport')",
+    "CANON-MISSING": "NOT regexp_matches(html, '<link[^>]*rel=.canonical')",
+    "CONTENT-LANG-MISSING": "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) = ''",
+    "CONTENT-H1-MISSING": "trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) = ''",
+    "CONTENT-THIN": f"{_WORDS} < 300",
+    "HTTP-LARGE-PAGE": "strlen(html) > 512000",
+    "SOCIAL-OG-MISSING": "NOT (contains(html, 'og:title') AND contains(html, 'og:description') AND contains(html, 'og:image'))",
+}
+
+
+def _page_query(id: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return page_rules.evaluate(parsed(spark, sf_dir), {id}).select("url", "rule_id", "severity")
+
+    return run
+
+
+for _r in page_rules.RULES:
+    _name = "page_" + _r.id.lower().replace("-", "_")
+    _sql = _PAGE_ORACLES.get(_r.id, "FALSE")  # the corpus has nothing else for these rules
+    if _r.id == "META-TITLE-TOO-LONG":
+        query(_name, f"SELECT url, '{_r.id}' AS rule_id, '{_r.severity}' AS severity FROM (SELECT url, (SELECT sum(CASE " + " ".join(f"WHEN strpos('{chars.replace(chr(39), chr(39) * 2)}', c) > 0 THEN {w}" for w, chars in WIDTHS.items()) + f" ELSE {DEFAULT_WIDTH} END) FROM (SELECT unnest(string_split({_DECODED}, '')) AS c)) AS px FROM pages) WHERE px * 20.0 / 1000 > 580")(_page_query(_r.id))
+    elif _r.id == "LINK-ANCHOR-GENERIC" or _r.id.startswith("HTTP-MIXED"):
+        query(_name)(_page_query(_r.id))
+    else:
+        query(_name, f"SELECT url, '{_r.id}' AS rule_id, '{_r.severity}' AS severity FROM pages WHERE {_sql}")(_page_query(_r.id))
+
+
+@query("site_title_duplicate", f"SELECT url, title, pages FROM (SELECT url, {_DECODED} AS title, count(*) OVER (PARTITION BY {_DECODED}) AS pages FROM pages) WHERE title <> '' AND pages > 1")
+def _(spark, sf_dir):
+    c = Crawl(*[parsed(spark, sf_dir).select("url", "title", "is_indexable")] * 3)
+    return site_rules.meta_title_duplicate(c).select("url", "title", "pages")
+
+
+@query("links_extract", """SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+"')) FROM pages) GROUP BY page_id""")
+def _(spark, sf_dir):
+    each = parsed(spark, sf_dir).select("page_id", F.explode("links").alias("l")).where("l.element = 'a'")
+    return each.groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+@query("links_by_region", """SELECT 'nav' AS region, count(*) AS links FROM (SELECT unnest(regexp_extract_all(html, '<a href="[^"]+"')) FROM pages)""")
+def _(spark, sf_dir):
+    each = parsed(spark, sf_dir).select(F.explode("links").alias("l")).where("l.element = 'a'")
+    return each.groupBy("l.region").agg(F.count("*").alias("links")).select("region", "links")
+
+
+@query("word_counts", f"SELECT page_id, {_WORDS} AS words FROM pages")
+def _(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", F.col("word_count").cast("long").alias("words"))
+
+
+@query(
+    "url_normalize",
+    """SELECT page_id, regexp_replace(split_part(url, '?', 1), '#.*$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS normalized
+FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN ('gclid', 'fbclid', 'msclkid', 'mc_cid', 'mc_eid', '_ga', 'ref', 'si')) AS q FROM pages)""",
+)
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.normalize_udf("url").alias("normalized"))
+
+
+@query("url_host", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
+
+
+@query("url_hosts_summary", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(*) AS pages, count(*) FILTER (WHERE url LIKE 'https:%') AS https FROM pages GROUP BY 1")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.count_if(U.scheme(F.col("url")) == "https").alias("https"))
+
+
+@query("title_pixels", f"SELECT page_id, px * 20.0 / 1000 AS px FROM (SELECT page_id, (SELECT sum(CASE " + " ".join(f"WHEN strpos('{chars.replace(chr(39), chr(39) * 2)}', c) > 0 THEN {w}" for w, chars in WIDTHS.items()) + f" ELSE {DEFAULT_WIDTH} END) FROM (SELECT unnest(string_split(trim({_TITLE}), '')) AS c)) AS px FROM pages)")
+def _(spark, sf_dir):
+    t = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.pixel_width(t, 20.0).alias("px"))
+
+
+@query("search_pages", f"SELECT page_id FROM pages WHERE list_contains(regexp_extract_all(lower({_TITLE}), '[\\p{{L}}\\p{{N}}]+'), 'the')")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    return reports.search(reports.index(p, "page_id", "title"), "page_id", "title:the")
+
+
+@query("near_duplicate_pages")
+def _(spark, sf_dir):
+    return near_duplicates(parsed(spark, sf_dir).select("url", "text_minhash", "html_hash"))
+
+
+@query("rule_catalog")
+def _(spark, sf_dir):
+    return catalog.catalog(spark)
+
+
+@query("audit_pages")
+def _(spark, sf_dir):
+    return page_rules.evaluate(parsed(spark, sf_dir))
+
+
+# -- whole sites: the derived crawl ----------------------------------------------------------------------------------
+def _site(name: str, rule_id: str, columns: str, sql: str) -> None:
+    @query(name, _fx(sql))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return site_rules.by_id(rule_id).query(derived.crawl(spark, sf_dir)).select(*columns.split())
+
+
+_E = "FROM cl JOIN cu ON cu.url = cl.to_url WHERE "
+_GONE = "((is_internal AND status_code >= 400) OR (NOT is_internal AND status_code IN (404, 410)))"
+_HOME = "rtrim(url, '/') = (SELECT rtrim(regexp_replace(url, '#.*$', ''), '/') FROM pages WHERE page_id = 0)"
+_site("http_404_internal", "HTTP-404-INTERNAL", "url status_code linked_from", f"SELECT to_url AS url, status_code, count(DISTINCT from_url) AS linked_from {_E} element = 'a' AND is_internal AND status_code BETWEEN 400 AND 499 GROUP BY ALL")
+_site("http_404_external", "HTTP-404-EXTERNAL", "url status_code linked_from", f"SELECT to_url AS url, status_code, count(DISTINCT from_url) AS linked_from {_E} element = 'a' AND NOT is_internal AND status_code IN (404, 410) GROUP BY ALL")
+_site("http_external_unverifiable", "HTTP-EXTERNAL-UNVERIFIABLE", "url status_code linked_from", f"SELECT to_url AS url, status_code, count(DISTINCT from_url) AS linked_from {_E} element = 'a' AND NOT is_internal AND status_code IN (401, 403, 429) GROUP BY ALL")
+_WALK = """w_step AS (SELECT url AS f, redirect_to AS t FROM cu WHERE redirect_to IS NOT NULL),
+w AS (SELECT f AS url, t AS pos, [f, t] AS p, f = t AS lp FROM w_step UNION ALL
+  SELECT w.url, s.t, list_append(w.p, s.t), list_contains(w.p, s.t) FROM w JOIN w_step s ON s.f = w.pos WHERE NOT w.lp AND len(w.p) <= 20),
+w_end AS (SELECT * FROM w WHERE lp OR NOT EXISTS (SELECT 1 FROM w_step s WHERE s.f = w.pos) OR len(p) = 21),
+w_head AS (SELECT * FROM w_end WHERE url NOT IN (SELECT t FROM w_step)) """
+_site("http_redirect_chain", "HTTP-REDIRECT-CHAIN", "url hops final_url", _WALK + "SELECT url, len(p) - 1 AS hops, pos AS final_url FROM w_head WHERE NOT lp AND len(p) > 2")
+_site("http_redirect_to_404", "HTTP-REDIRECT-TO-404", "url final_url final_status_code hops", _WALK + "SELECT w_head.url, pos AS final_url, status_code AS final_status_code, len(p) - 1 AS hops FROM w_head JOIN cu ON cu.url = pos WHERE NOT lp AND status_code BETWEEN 400 AND 499")
+_site("http_redirect_loop", "HTTP-REDIRECT-LOOP", "url length", _WALK + ", w_c AS (SELECT list_slice(p, list_position(p, pos), len(p) - 1) AS c FROM w_end WHERE lp) SELECT DISTINCT list_min(c) AS url, len(c) AS length FROM w_c")
+_site("http_no_https", "HTTP-NO-HTTPS", "http_urls", "SELECT count(*) AS http_urls FROM cu WHERE is_internal AND url LIKE 'http:%' AND crawl_state = 'done' AND (status_code BETWEEN 200 AND 299 OR (status_code BETWEEN 300 AND 399 AND redirect_to LIKE 'http:%')) HAVING count(*) > 0")
+_site("index_robots_blocked", "INDEX-ROBOTS-BLOCKED", "url linked_from", "SELECT cu.url, count(DISTINCT from_url) AS linked_from FROM cu JOIN cl ON cl.to_url = cu.url WHERE is_internal AND exclusion_reason = 'robots' GROUP BY ALL")
+_site("index_blocked_in_sitemap", "INDEX-BLOCKED-IN-SITEMAP", "url", "SELECT url FROM cu WHERE in_sitemap AND exclusion_reason = 'robots'")
+_site("index_noindex_in_sitemap", "INDEX-NOINDEX-IN-SITEMAP", "url", "SELECT cu.url FROM cu JOIN cp ON cp.url = cu.url WHERE in_sitemap AND NOT is_indexable AND indexability_reason = 'noindex'")
+_site("index_orphan", "INDEX-ORPHAN-PAGE", "url", f"SELECT url FROM cu WHERE is_internal AND in_sitemap AND url IN (SELECT url FROM cp) AND url NOT IN (SELECT to_url FROM cl) AND NOT ({_HOME})")
+_site("index_no_inlinks", "INDEX-NO-INTERNAL-LINKS-IN", "url", f"SELECT url FROM cu WHERE is_internal AND url IN (SELECT url FROM cp WHERE is_indexable) AND url NOT IN (SELECT to_url FROM cl) AND NOT ({_HOME})")
+_site("canon_to_4xx", "CANON-TO-4XX", "url canonical status", "SELECT cp.url, canonical, cu.status_code AS status FROM cp JOIN cu ON cu.url = canonical WHERE canonical <> cp.url AND " + _GONE.replace("status_code", "cu.status_code"))
+_site("canon_to_redirect", "CANON-TO-REDIRECT", "url canonical status", "SELECT cp.url, canonical, cu.status_code AS status FROM cp JOIN cu ON cu.url = canonical WHERE canonical <> cp.url AND (cu.status_code BETWEEN 300 AND 399 OR redirect_to IS NOT NULL)")
+_site("canon_to_noindex", "CANON-TO-NOINDEX", "url canonical directive", "SELECT a.url, a.canonical, b.meta_robots AS directive FROM cp a JOIN cp b ON b.url = a.canonical WHERE a.canonical <> a.url AND lower(b.meta_robots) LIKE '%noindex%'")
+_site("canon_chain", "CANON-CHAIN", "url canonical then", "SELECT a.url, a.canonical, b.canonical AS \"then\" FROM cp a JOIN cp b ON b.url = a.canonical JOIN cu ON cu.url = b.canonical WHERE a.canonical <> a.url AND b.canonical <> b.url")
+_site("site_title_duplicate_fx", "META-TITLE-DUPLICATE", "url title pages", "SELECT url, title, pages FROM (SELECT url, title, count(*) OVER (PARTITION BY title) AS pages FROM cp WHERE is_indexable AND trim(title) <> '') WHERE pages > 1")
+_site("site_content_exact", "DUP-CONTENT-EXACT", "url pages", "SELECT url, pages FROM (SELECT url, count(*) OVER (PARTITION BY html_hash) AS pages FROM cp WHERE is_indexable) WHERE pages > 1")
+_USED = "count(DISTINCT from_url) AS used_by_pages"
+_site("asset_img_heavy", "ASSET-IMG-HEAVY", "url bytes used_by_pages", f"SELECT to_url AS url, content_length AS bytes, {_USED} {_E} element = 'img' AND status_code = 200 AND content_length > 204800 GROUP BY ALL")
+_site("asset_img_broken", "ASSET-IMG-BROKEN", "url status_code used_by_pages", f"SELECT to_url AS url, status_code, {_USED} {_E} element = 'img' AND {_GONE} GROUP BY ALL")
+_site("asset_js_heavy", "ASSET-JS-HEAVY", "url bytes", f"SELECT DISTINCT to_url AS url, content_length AS bytes {_E} element = 'script' AND is_internal AND status_code = 200 AND content_length > 256000")
+_site("asset_css_heavy", "ASSET-CSS-HEAVY", "url bytes", f"SELECT DISTINCT to_url AS url, content_length AS bytes {_E} element = 'link' AND is_internal AND status_code = 200 AND content_length > 102400")
+_site("asset_broken", "ASSET-BROKEN", "url kind status_code used_by_pages", f"SELECT to_url AS url, element AS kind, status_code, {_USED} {_E} element IN ('link', 'script') AND {_GONE} GROUP BY ALL")
+
+_REACH = """w_home AS (SELECT regexp_replace(url, '#.*$', '') AS url FROM pages WHERE page_id = 0),
+w_e AS (SELECT DISTINCT from_url, to_url FROM cl WHERE element = 'a'),
+w AS (SELECT url, 0 AS depth FROM w_home UNION SELECT w_e.to_url, w.depth + 1 FROM w JOIN w_e ON w_e.from_url = w.url WHERE w.depth < 80),
+w_depth AS (SELECT url, min(depth) AS depth FROM w GROUP BY url),
+w_ok AS (SELECT url FROM cp WHERE is_indexable AND url IN (SELECT url FROM cu WHERE is_internal) AND url IN (SELECT to_url FROM cl)) """
+
+
+@query("click_depth", _fx(_REACH + "SELECT url, depth FROM w_depth"))
+def _(spark, sf_dir):
+    c = derived.crawl(spark, sf_dir)
+    return depth.click_depth(c.links, c.urls.where(c.home).select("url"))
+
+
+_site("index_deep_page", "INDEX-DEEP-PAGE", "url click_depth", _REACH + "SELECT w_ok.url, depth AS click_depth FROM w_ok JOIN w_depth ON w_depth.url = w_ok.url WHERE depth > 4")
+_site("index_section_disconnected", "INDEX-SECTION-DISCONNECTED", "pages", _REACH + "SELECT count(*) AS pages FROM w_ok WHERE url NOT IN (SELECT url FROM w_depth) HAVING count(*) > 0")
+
+
+@query("deep_page_shape", _fx(_REACH + "SELECT count(*) AS pages, quantile_disc(depth, 0.25) AS q1, quantile_disc(depth, 0.5) AS median, quantile_disc(depth, 0.75) AS q3, max(depth) AS deepest FROM w_depth WHERE depth > 4"))
+def _(spark, sf_dir):
+    c = derived.crawl(spark, sf_dir)
+    return depth.depth_shape(depth.click_depth(c.links, c.urls.where(c.home).select("url")), 4).select("pages", *[F.col(x).cast("int").alias(x) for x in ("q1", "median", "q3", "deepest")])
+
+
+def _report(name: str, f: Callable, sql: str) -> None:
+    @query(name, _fx(sql))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(derived.crawl(spark, sf_dir))
+
+
+_FINAL = """w_step AS (SELECT url AS f, redirect_to AS t FROM cu WHERE redirect_to IS NOT NULL AND status_code BETWEEN 300 AND 399),
+w AS (SELECT url, url AS pos, [url] AS p, FALSE AS lp FROM cu UNION ALL SELECT w.url, s.t, list_append(w.p, s.t), list_contains(w.p, s.t) FROM w JOIN w_step s ON s.f = w.pos WHERE NOT w.lp AND len(w.p) <= 10),
+w_end AS (SELECT url, arg_max(pos, len(p)) AS pos, max(len(p)) - 1 AS hops FROM w GROUP BY url) """
+_report("broken_links_view", reports.broken_links, _FINAL + f"SELECT from_url, to_url, pos AS final_url, hops, status_code FROM cl JOIN w_end ON w_end.url = to_url JOIN cu ON cu.url = pos WHERE element = 'a' AND {_GONE}")
+_report("status_breakdown", reports.status_breakdown, "SELECT CASE WHEN status_code < 300 THEN '2xx' WHEN status_code < 400 THEN '3xx' WHEN status_code < 500 THEN '4xx' WHEN status_code IS NOT NULL THEN '5xx' WHEN crawl_state = 'excluded' THEN 'out_of_scope' ELSE 'never_requested' END AS class, count(*) FILTER (WHERE is_internal) AS internal, count(*) FILTER (WHERE NOT is_internal) AS external FROM cu GROUP BY 1")
+_report("indexability_reasons", reports.indexability_reasons, "SELECT coalesce(indexability_reason, 'indexable') AS reason, count(*) AS pages FROM cp GROUP BY 1")
+_report("exclusions", reports.exclusions, "SELECT exclusion_reason, count(*) AS urls FROM cu WHERE exclusion_reason IS NOT NULL GROUP BY 1")
+_report("inlinks", lambda c: c.inlinks(), "SELECT to_url AS url, count(DISTINCT from_url) AS internal_links_in FROM cl GROUP BY 1")
+_report("slow_responses", lambda c: c.urls.where("ttfb_ms > 1000").select("url", "ttfb_ms"), "SELECT url, ttfb_ms FROM cu WHERE ttfb_ms > 1000")
+
+# -- two crawls ------------------------------------------------------------------------------------------------------
+_RULES = {"CANON-TO-4XX", "HTTP-404-INTERNAL", "META-TITLE-DUPLICATE"}
+_ISSUES = """i{n} AS (
+SELECT 'CANON-TO-4XX' AS rule_id, 'critical' AS severity, cp{n}.url, '' AS group_key FROM cp{n} JOIN cu{n} ON cu{n}.url = canonical WHERE canonical <> cp{n}.url AND ((is_internal AND cu{n}.status_code >= 400) OR (NOT is_internal AND cu{n}.status_code IN (404, 410)))
+UNION ALL SELECT DISTINCT 'HTTP-404-INTERNAL', 'critical', to_url, '' FROM cl JOIN cu{n} ON cu{n}.url = to_url WHERE element = 'a' AND is_internal AND status_code BETWEEN 400 AND 499
+UNION ALL SELECT 'META-TITLE-DUPLICATE', CASE WHEN FALSE THEN 'low' ELSE 'high' END, url, 'title:' || md5(title) FROM (SELECT url, title, count(*) OVER (PARTITION BY title) AS n FROM cp{n} WHERE is_indexable AND trim(title) <> '') WHERE n > 1)"""
+_BOTH = ", " + _ISSUES.format(n="") + ", " + _ISSUES.format(n="2")
+
+
+def both(spark: SparkSession, sf_dir: str) -> diff.Diff:
+    crawls = [derived.crawl(spark, sf_dir, x) for x in (False, True)]
+    return diff.compare(*[c.with_issues(site_rules.evaluate(c, _RULES)) for c in crawls])
+
+
+def _changes(*kinds: str) -> Query:
+    return lambda spark, sf_dir: both(spark, sf_dir).changes.where(F.col("change").isin(*kinds)).select("change", "url", "before", "after")
+
+
+_IN = "is_internal AND crawl_state = 'done'"
+query("diff_urls", f"WITH {derived.FX}, {derived.AFTER} SELECT 'url_removed' AS change, url, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS after FROM cu WHERE {_IN} AND url NOT IN (SELECT url FROM cu2 WHERE {_IN})")(_changes("url_added", "url_removed"))
+query("diff_status", f"WITH {derived.FX}, {derived.AFTER} SELECT 'status_changed' AS change, cu.url, CAST(cu.status_code AS VARCHAR) AS before, CAST(cu2.status_code AS VARCHAR) AS after FROM cu JOIN cu2 ON cu2.url = cu.url WHERE cu.crawl_state = 'done' AND cu2.crawl_state = 'done' AND cu.status_code IS DISTINCT FROM cu2.status_code")(_changes("status_changed"))
+query("diff_pages", f"WITH {derived.FX}, {derived.AFTER}, j AS (SELECT cp.url, cp.title AS t0, cp2.title AS t1, coalesce(cp.indexability_reason, 'indexable') AS r0, coalesce(cp2.indexability_reason, 'indexable') AS r1 FROM cp JOIN cp2 ON cp2.url = cp.url) SELECT 'title_changed' AS change, url, t0 AS before, t1 AS after FROM j WHERE t0 IS DISTINCT FROM t1 UNION ALL SELECT 'indexability_changed', url, r0, r1 FROM j WHERE r0 <> r1")(_changes("title_changed", "indexability_changed", "canonical_changed"))
+_MISS = "NOT EXISTS (SELECT 1 FROM {o} o WHERE o.rule_id = x.rule_id AND o.url = x.url AND (o.group_key = x.group_key OR o.group_key = '' OR x.group_key = ''))"
+
+
+@query("diff_issues", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT 'new' AS kind, x.rule_id, x.url FROM i2 x WHERE {_MISS.format(o='i')} UNION ALL SELECT 'resolved', x.rule_id, x.url FROM i x WHERE {_MISS.format(o='i2')}")
+def _(spark, sf_dir):
+    d = both(spark, sf_dir)
+    pick = lambda df, k: df.select(F.lit(k).alias("kind"), "rule_id", "url")
+    return pick(d.new, "new").unionByName(pick(d.resolved, "resolved"))
+
+
+@query("diff_gate", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT rule_id, severity, count(*) AS n FROM i2 x WHERE {_MISS.format(o='i')} AND severity = 'critical' GROUP BY ALL")
+def _(spark, sf_dir):
+    return diff.gate(both(spark, sf_dir), ["critical"])
+
+
+@query("issue_summary_view", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT rule_id, severity, count(*) AS n FROM i GROUP BY ALL")
+def _(spark, sf_dir):
+    return reports.issue_summary(site_rules.evaluate(derived.crawl(spark, sf_dir), _RULES)).select("rule_id", "severity", "n")
+
+
+@query("portfolio_spread", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT rule_id, count(DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS sites, count(*) AS findings FROM i GROUP BY ALL")
+def _(spark, sf_dir):
+    i = site_rules.evaluate(derived.crawl(spark, sf_dir), _RULES).withColumn("site", U.host(F.col("url")))
+    return diff.rule_spread(i).select("rule_id", "sites", "findings")
+
+
+@query("portfolio_severity", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high FROM i GROUP BY 1")
+def _(spark, sf_dir):
+    i = site_rules.evaluate(derived.crawl(spark, sf_dir), _RULES).withColumn("site", U.host(F.col("url")))
+    return diff.severity_by_site(i).select("site", "critical", "high")
