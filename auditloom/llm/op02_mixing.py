@@ -124,7 +124,8 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     own = _offsets(docs.where("size > 0"))
     lo, hi = F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block)
     cut = own.withColumn("_i", F.explode(F.sequence(lo, hi)))
-    got = cut.join(drawn, F.col("skey").eqNullSafe(F.col("_k")) & (F.col("_i") == F.col("idx")))
+    # the drawn slots grow out of a handful of rows, so the planner takes them for small; they are not, and must be shuffled
+    got = cut.join(drawn.hint("merge"), F.col("skey").eqNullSafe(F.col("_k")) & (F.col("_i") == F.col("idx")))
     start, end = F.greatest(F.col("_i") * block - F.col("off"), F.lit(0)), F.least((F.col("_i") + 1) * block - F.col("off"), F.col("size"))
     got = got.select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), F.struct(start.alias("start"), end.alias("end"), "times").alias("_part"))
     # at most size / block + 2 stretches a row
