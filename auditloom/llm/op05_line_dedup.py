@@ -1,14 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Lines that several documents hold are found by their hashes.  Each such line leads back to the earliest document that
-holds it, and a later document is aligned with those earlier ones with which it shares enough words of such lines.
+Lines that several documents hold are found by their hashes.  Runs of such lines, consecutive and just long enough to
+have ``MIN_WORDS`` words, lead back to the earliest document that holds them, and a later document is aligned with it.
 The alignment is a patience diff: lines that occur once in either document anchor it, in their longest common order,
 and it grows from the anchors to neighbouring equal lines.  Aligned blocks of at least ``MIN_WORDS`` words are deleted
 from the later document; single shared lines, and lines shared in another order, stay.
 
-A very common line leads to as many pairs as it has holders, each with the one earliest document, never to all pairs of
-holders.  Rare lines count most by themselves: a pair is examined for the sum of the words of all lines it shares
-through that earliest document.
+The result is that of aligning every document with every earlier one.  Each line of a block lies in a run of the block
+that starts or ends at a line of it, so a document is paired through each of its runs; where the order of lines keeps
+the alignment with the earliest holder from deleting a run, its other earlier holders are tried, the nearest first, until
+one deletes it or none is left.  A common run thus leads to about as many pairs as it has holders, and to more only where
+holders have their lines in different orders.
 
 Defined results: lines are cut at ``\\n`` and compared without blanks at their ends; blank lines match nothing and stay; a
 null text stays null; empty texts stay empty; "earlier" is by id, null ids last, then by a hash of the text; exactly
@@ -18,10 +20,12 @@ empty text; other columns pass through, n_chars is counted anew.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import WORD, table
@@ -117,14 +121,92 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # one row for each document and line: a repeated row adds nothing
     lines = _lines(docs.select("doc_id", F.col("text").cast("string").alias("text"))).distinct()
     doc = F.struct("o", "i", "t")
-    held = lines.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("h", "first")
-    shared = stage(lines.join(held, "h"), "lines")
-    own = F.struct("o", "i", "t")
-    pairs = shared.where(own != F.col("first")).groupBy("o", "i", "t", "first").agg(F.sum("w").alias("_w"))
-    pairs = pairs.where(F.col("_w") >= least).select(own.alias("later"), "first")
+    held = lines.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("h")
     # what a document shares, in order: as long as the document at most
-    of = shared.groupBy(own.alias("doc")).agg(F.sort_array(F.collect_list(F.struct("at", "h", "w"))).alias("ls"))
-    sides = pairs.join(of.select(F.col("doc").alias("first"), F.col("ls").alias("a")), "first").join(of.select(F.col("doc").alias("later"), F.col("ls").alias("b")), "later")
+    of = lines.join(held, "h").groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_list(F.struct("at", "h", "w"))).alias("ls"))
+    of = stage(of, "lines")
+    found = of.mapInArrow(lambda batches: _runs_of(batches, least), "doc struct<o: int, i: long, t: long>, lo int, hi int, g long")
+    first = found.groupBy("g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("g", "first")
+    runs = stage(found.join(first, "g"), "runs")
+    later = runs.where("doc != first")
+    gone = stage(_aligned(later.select(F.col("doc").alias("later"), "first").distinct(), of, least), "gone")
+
+    def left(runs: DataFrame) -> DataFrame:
+        j = runs.join(gone.select(F.col("doc").alias("_d"), "gone").hint("merge"), F.col("doc") == F.col("_d"), "left")
+        rest = F.array_except(F.sequence("lo", "hi"), F.coalesce("gone", F.array().cast("array<int>")))
+        return j.where(F.size(rest) > 0).select(*runs.columns)
+
+    todo = stage(left(later).select("doc", "lo", "hi", "g"), "left")
+    if todo.isEmpty():
+        return gone.select("doc.*", "gone")
+    # the holders of what is left by their place among them; the first has been tried
+    ranks = runs.join(todo.select("g").distinct(), "g", "left_semi").select("g", "doc").distinct()
+    ranks = stage(ranks.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("doc"))), "holders")
+    todo = todo.join(ranks, ["g", "doc"]).where("n > 2")
+    done, width = 1, 1
+    while True:  # each round tries twice as many holders as the one before
+        todo = stage(todo, "left")
+        if todo.isEmpty():
+            return gone.select("doc.*", "gone")
+        tries = todo.select("g", F.col("doc").alias("later"), F.explode(F.sequence(F.greatest(F.col("n") - done - width + 1, F.lit(2)), F.col("n") - done)).alias("n"))
+        pairs = tries.join(ranks.select("g", "n", F.col("doc").alias("first")), ["g", "n"]).select("later", "first").distinct()
+        more = gone.unionByName(_aligned(pairs, of, least)).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        gone = stage(more, "gone")
+        done, width = done + width, 2 * width
+        todo = left(todo).where(F.col("n") - done > 1)
+
+
+def runs_of(at: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) indices of the shortest runs of lines with consecutive numbers, ``least`` words or more, that start or
+    that end at a line."""
+    out = set()
+    start = 0
+    for stop in range(1, len(at) + 1):
+        if stop < len(at) and at[stop] == at[stop - 1] + 1:
+            continue
+        # from lo to hi: the shortest that ends at hi; it starts later only if that still reaches
+        lo, n = start, 0
+        for hi in range(start, stop):
+            n += words[hi]
+            while n - words[lo] >= least:
+                n, lo = n - words[lo], lo + 1
+            if n >= least:
+                out.add((lo, hi))
+        hi, n = stop - 1, 0
+        for lo in range(stop - 1, start - 1, -1):
+            n += words[lo]
+            while n - words[hi] >= least:
+                n, hi = n - words[hi], hi - 1
+            if n >= least:
+                out.add((lo, hi))
+        start = stop
+    return sorted(out)
+
+
+def _runs_of(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc, lo, hi, g): of each document's runs the numbers of their first and last line and a hash of their lines."""
+    for b in batches:
+        for k in range(0, b.num_rows, 512):
+            part = b.slice(k, 512)
+            rows, lo, hi, g = [], [], [], []
+            for n, ls in enumerate(part.column("ls").to_pylist()):
+                at = [e["at"] for e in ls]
+                h = np.array([e["h"] for e in ls], dtype=np.int64)
+                for x, y in runs_of(at, [e["w"] for e in ls], least):
+                    rows.append(n)
+                    lo.append(at[x])
+                    hi.append(at[y])
+                    g.append(int.from_bytes(hashlib.blake2b(h[x : y + 1].tobytes(), digest_size=8).digest(), "little", signed=True))
+            if rows:
+                cols = [part.column("doc").take(pa.array(rows)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(g, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "lo", "hi", "g"])
+
+
+def _aligned(pairs: DataFrame, of: DataFrame, least: int) -> DataFrame:
+    """(doc, gone): the numbers of the lines that the later document of each pair (later, first) loses."""
+    # staged tables look small to the planner as files; these grow with the documents, and must be shuffled
+    a, b = (of.select(F.col("doc").alias(x), F.col("ls").alias(y)).hint("merge") for x, y in (("first", "a"), ("later", "b")))
+    sides = pairs.join(a, "first").join(b, "later")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,14 +222,14 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], ["o", "i", "t", "gone"])
 
     found = sides.select("later", "a", "b").mapInArrow(run, "o int, i long, t long, gone array<int>")
-    return found.groupBy("o", "i", "t").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    return found.groupBy(F.struct("o", "i", "t").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the deleted lines gone from ``text``, and ``_gone``, their numbers among the lines with words (null: none)."""
     gone = deletions(docs, least).select(F.col("o").alias("_o"), F.col("i").alias("_i"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
     o, i, t = _key()
-    j = docs.join(gone, (o == F.col("_o")) & (i == F.col("_i")) & (t == F.col("_t")), "left").drop("_o", "_i", "_t")
+    j = docs.join(gone.hint("merge"), (o == F.col("_o")) & (i == F.col("_i")) & (t == F.col("_t")), "left").drop("_o", "_i", "_t")
     # the number of a line among those with words: how many of them stand up to it
     split = F.split("text", "\n")
     wordy = lambda x: F.rlike(x, F.lit(WORD))
