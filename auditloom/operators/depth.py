@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.plans.staging import Stages
 
 
-def click_depth(links: DataFrame, seeds: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """(url, depth) of what ``a`` links reach from ``seeds`` (url).  One staged table a level: lineage stays short, a lost
-    executor repeats one level at most, and the loop ends with the first empty frontier."""
+def click_depth(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(url, depth) of what ``a`` links reach from ``seeds`` (url), however deep.  One staged table a level: lineage stays
+    short, a lost executor repeats one level at most, and the loop ends with the first empty frontier."""
     st = Stages(links.sparkSession)
     edges = st.put(links.where("element = 'a'").select("from_url", "to_url").where("from_url != to_url").distinct(), "edges")
     front = st.put(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
-    seen = front
-    for level in range(1, max_levels):
+    seen, parts = front, [front]
+    for level in count(1):
         nxt = edges.join(front.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
         nxt = st.put(nxt.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)), "level")
         if nxt.isEmpty():
             break
         seen = seen.unionByName(nxt)
+        parts.append(nxt)
         if level % 10 == 0:  # many small tables in one plan are slow to plan
             seen = st.put(seen, "seen")
+            for old in parts[:-1]:  # all but the frontier are in the new table alone
+                st.drop(old)
+            parts = [nxt, seen]
         front = nxt
     return seen
 
