@@ -26,6 +26,8 @@ from auditloom.llm.common import crc_mod, in_blocks, table
 #: Texts are compressed in pieces of so many bytes: with a short window the dictionary decides, not the text itself.
 PIECE = 4096
 LEVEL = 3
+#: The least bytes that a text gives to a dictionary, and the least length of a piece, but for its separator.
+SHARE = 256
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes of the texts: whole texts if they fit, else equal shares of all of them, short texts whole and
+    of longer ones pieces spread from their beginning to their end."""
+    least = sum(min(len(t), SHARE) + 1 for t in texts)
+    if least > size:  # too many for a share each: texts spread over the list
+        most = max(1, len(texts) * size // least)
+        texts = [texts[i * len(texts) // most] for i in range(most)]
+    share, left = max(map(len, texts), default=0), size
+    for i, n in enumerate(sorted(map(len, texts))):
+        if (n + 1) * (len(texts) - i) > left:
+            share = left // (len(texts) - i) - 1
+            break
+        left -= n + 1
+    out = []
+    for i, t in enumerate(texts):
+        if len(t) <= share:
+            out.append(t)
+            continue
+        k = max(1, share // SHARE)
+        n, step = share // k - 1, len(t) / k
+        # the place of a piece in its part of the text differs from text to text, evenly over all places
+        shift = i * 0.6180339887498949 % 1 * (step - n)
+        out += [t[(at := int(p * step + shift)) : at + n] for p in range(k)]
+    return b"\n".join(out)
+
+
 def fit(rows: list[tuple[str, int]], dict_bytes: int = 1_000_000, base_rate: float | None = None) -> Model:
     """``rows`` are (text, label) in a fixed order; of each class every third text is kept for the calibration."""
     rate = sum(y for _, y in rows) / len(rows) if rows else 0.5
@@ -95,9 +123,7 @@ def fit(rows: list[tuple[str, int]], dict_bytes: int = 1_000_000, base_rate: flo
             parts[y].append((text or "").encode("utf-8", "surrogatepass"))
     dicts = {}
     for y, texts in parts.items():
-        # equal shares of many texts rather than a few long ones; the end of a dictionary is the cheapest to refer to
-        share = max(256, dict_bytes // max(1, len(texts)))
-        blob = b"\n".join(t[:share] for t in texts if t)[-dict_bytes:]
+        blob = _dictionary([t for t in texts if t], dict_bytes)
         dicts[y] = blob if len(blob) >= 8 else b""
     model = Model(dicts[1], dicts[0], (0.0, 0.0), rate)
     if not (model.good and model.bad) or len({y for _, y in held}) < 2:
