@@ -38,13 +38,12 @@ class Model:
 
 
 def features(word: str) -> tuple[str, ...]:
-    """The word's first run of letters, and its beginnings of four and five: inflected forms share a stem."""
-    m = _LETTERS.search(word)
-    if not m:
-        return ()
-    word = m[0]
-    n = len(word)
-    return (word,) if n < 4 else (word, word[:4] + "*") if n < 5 else (word, word[:4] + "*", word[:5] + "*")
+    """The word's runs of letters, and their beginnings of four and five: inflected forms share a stem.  Each feature once."""
+    out: dict[str, None] = {}
+    for run in _LETTERS.findall(word):
+        n = len(run)
+        out |= dict.fromkeys((run,) if n < 4 else (run, run[:4] + "*") if n < 5 else (run, run[:4] + "*", run[:5] + "*"))
+    return tuple(out)
 
 
 class Weights(dict):
