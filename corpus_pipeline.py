@@ -48,7 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encoding),
 ]
 
-#: A trained compressor, patience diffs and merges are not SQL; tests hold the stages against brute force instead.
+#: A trained compressor, patience diffs and merges are not SQL.  Tests hold line_dedup's deletions against brute force and the
+#: other operators against small tables; the stages as such have no test.
 ORACLE_SQL = None
 
 
