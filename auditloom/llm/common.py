@@ -25,8 +25,9 @@ def let(value: Column, f) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text as an array; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAP}|{GAP}$", "")
+    """The words of a text as an array; null and blank texts have none.  Only the end of the text is an end here (``$`` would
+    also stand before a last U+0085, U+2028 or U+2029, which are letters of a word)."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{GAP}|{GAP}\z", "")
     return F.array_remove(F.split(trimmed, GAP), "")
 
 
@@ -40,28 +41,43 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def in_blocks(batches: Iterable[pa.RecordBatch], column: str, chars: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``chars`` bytes of ``column`` each, so that memory follows that bound
-    and the longest single text, not the number of rows."""
+def in_blocks(batches: Iterable[pa.RecordBatch], column: str, chars: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``chars`` bytes of ``column`` each and ``rows`` rows at most, so that memory follows
+    these bounds and the longest single text, not the sizes of batches."""
     for b in batches:
         if not b.num_rows:
             continue
         sizes = b.column(column).cast(pa.large_binary())
         start = size = 0
         for i, v in enumerate(pa.compute.binary_length(sizes).to_pylist()):
-            if i > start and size + (v or 0) > chars:
+            if i > start and (size + (v or 0) > chars or i - start >= rows):
                 yield b.slice(start, i - start)
                 start, size = i, 0
             size += v or 0
         yield b.slice(start)
 
 
-def id_blocks(df: DataFrame, key: str, rows: int = 4096) -> Column:
-    """A block number that grows with ``key``, an integer: blocks hold about ``rows`` rows where ids are spread evenly
-    and any number where they are not.  Null keys come last, in a block of their own."""
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    width = max(1, (hi - lo + 1) * rows // n) if n else 1
-    return F.coalesce(F.expr(f"`{key}` div {width}L"), F.lit((1 << 63) - 1))
+def id_blocks(df: DataFrame, key: str, tie: str, rows: int = 4096, most: int = 16) -> tuple[Column, Column]:
+    """(order, block) of the rows in the order of ``key``, an integer, null keys last: ``order`` sorts like the key, nulls by
+    the hash of ``tie``; ``block``, a struct, grows with it.
+
+    Blocks are stretches of equal width of the key.  The width is taken from the rows' own spread and made smaller until no
+    block has more than ``most * rows`` rows, so that a single outlying key does not gather the others in one block; what
+    one key alone holds cannot be parted.  Only the key is read for this, and one row comes back."""
+    none = F.col(key).isNull()
+    at = F.when(none, F.xxhash64(tie)).otherwise(F.col(key).cast("long"))
+    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n"), F.count_if(none).alias("nulls")).first()
+    n, nulls = stats["n"], stats["nulls"]
+    largest = (1 << 63) - 1
+    width = min(largest, max(1, (stats["hi"] - stats["lo"] + 1) * rows // n)) if n else 1
+    while n > most * rows and width > 1:
+        fullest = df.where(~none).groupBy(F.expr(f"CAST(`{key}` AS BIGINT) div {width}L")).count().agg(F.max("count")).first()[0]
+        if fullest <= most * rows:
+            break
+        width = max(1, min(width // 2, width * rows // fullest))
+    wide = min(largest, (1 << 64) // max(1, -(-nulls // rows)))
+    block = F.struct(none.alias("o"), F.call_function("div", at, F.when(none, F.lit(wide)).otherwise(F.lit(width)).cast("long")).alias("b"))
+    return F.struct(none.alias("o"), at.alias("k")), block
 
 
 def shingle_hashes(w: Column, n: int = 5) -> Column:

@@ -6,7 +6,7 @@ shingles; below ``k`` shingles all of these are exact.
 
 Defined results: a null text is an empty one and has the empty fingerprint; two empty fingerprints have the likeness 1,
 an empty and another one 0; a text of one to four words is one shingle; repeated rows are fingerprinted alike; the
-order of documents is by id, null ids last, equal ids by text; a single document is its own next one.
+order of documents is by id, null ids last and by a hash of their texts, equal ids by text; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -68,16 +68,16 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     Documents are dealt by blocks of ids; within a block the next row is a window's lead.  The last row of a block gets
     the first one of the next block, found by an aggregation to one row a block; only block numbers (one for some
     thousand documents) meet in one task."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("_b", id_blocks(docs, "doc_id"))
-    key = F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.col("text").alias("t"))
-    heads = docs.groupBy("_b").agg(F.min(key).alias("_h")).select("_b", F.col("_h.t").alias("_t"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order, block = id_blocks(docs, "doc_id", "text")
+    docs = docs.withColumns({"_b": block, "_k": order})
+    heads = docs.groupBy("_b").agg(F.min(F.struct(F.col("_k").alias("k"), F.col("text").alias("t"))).alias("_h")).select("_b", F.col("_h.t").alias("_t"))
     # the block before each head's own; before the first block comes the last one
     by_block = Window.orderBy("_b")
     before = docs.select("_b").distinct().withColumns({"_p": F.lag("_b").over(by_block), "_last": F.max("_b").over(Window.partitionBy())})
     heads = heads.join(before.select("_b", F.coalesce("_p", "_last").alias("_p")), "_b")
     heads = heads.select(F.col("_p").alias("_b"), F.col("_t").alias("_ht"), fingerprint(F.col("_t"), k).alias("_hf"))
-    inner = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    inner = Window.partitionBy("_b").orderBy("_k", "text")
     df = docs.repartition("_b").withColumn("fp", fingerprint(F.col("text"), k))
     df = df.withColumns({"next_text": F.lead("text").over(inner), "next_fp": F.lead("fp").over(inner)})
     last = F.col("next_text").isNull()  # texts are never null here, so only a block's last row has none
