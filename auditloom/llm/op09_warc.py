@@ -25,6 +25,8 @@ from auditloom.plans.staging import new_folder, stage
 
 LEAST = 1000
 SPLIT = 4 << 20
+#: Reading tasks at most; beyond that a task has several ranges.
+TASKS = 20_000
 MAGIC = b"\x1f\x8b\x08"
 _HIGH, _NULL = 0x6C6F6F6D_77617263, 0x6C6F6F6D_6E756C6C
 DATE = "2024-01-01T00:00:00Z"
@@ -62,9 +64,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
 
 
 def _open(path: str):
+    """The file system and the path in it.  Tasks open archives themselves, since no reader of Spark's gives byte ranges; what
+    Hadoop calls s3a or s3n is s3 here.  A store that pyarrow cannot open raises its error; nothing falls back to local files."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -107,41 +112,49 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = 1
     return stage(decided(pages, least).mapInArrow(run, "path string, size long"), "warc-list")
 
 
-def members(f, start: int, end: int, chunk: int = 1 << 18) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of each member that starts in [start, end) of the open file."""
-    at = start
-    while at < end:
-        f.seek(at)
-        buf = f.read(chunk)
-        if len(buf) < len(MAGIC):
-            return
-        hit = buf.find(MAGIC)
+def members(f, start: int, end: int, chunk: int = 1 << 18, step: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of each member that starts in [start, end) of the open file.  The file is read forwards once, by
+    ``chunk``; of a place that turns out to be no member the bytes behind it are still there.  Members are decoded by ``step``, so
+    that little is copied when one ends."""
+    f.seek(start)
+    buf, at, pos = b"", start, 0  # the buffer, its offset in the file, and the place in it
+    while True:
+        hit = buf.find(MAGIC, pos)
         if hit < 0:
-            at += len(buf) - len(MAGIC) + 1
+            if at + len(buf) - len(MAGIC) + 1 >= end:
+                return
+            tail = buf[max(pos, len(buf) - len(MAGIC) + 1) :]
+            more = f.read(chunk)
+            if not more:
+                return
+            buf, at, pos = tail + more, at + len(buf) - len(tail), 0
             continue
-        at += hit
-        if at >= end:
+        if at + hit >= end:
             return
-        z, parts, used, data = zlib.decompressobj(31), [], 0, buf[hit:]
-        good = None
+        z, parts, size, good, i = zlib.decompressobj(31), [], 0, None, hit
         try:
-            while data and not z.eof:
-                parts.append(z.decompress(data))
-                used += len(data)
-                if good is None and sum(map(len, parts)) >= 8:
+            while not z.eof:
+                piece = buf[i : i + step]
+                if not piece:
+                    piece = f.read(chunk)
+                    if not piece:
+                        break
+                    buf, at, i, hit = buf[hit:] + piece, at + hit, i - hit, 0
+                    piece = piece[:step]
+                parts.append(z.decompress(piece))
+                i += len(piece)
+                size += len(parts[-1])
+                if good is None and size >= 8:
                     good = b"".join(parts)[:7] == b"WARC/1."
                     if not good:
                         break
-                data = b"" if z.eof else f.read(chunk)
         except zlib.error:
             good = False
-        if good and z.eof:
-            whole = b"".join(parts)
-            if b"\r\n\r\n" in whole:
-                yield at, whole
-                at += used - len(z.unused_data)
-                continue
-        at += 1
+        if good and z.eof and b"\r\n\r\n" in (whole := b"".join(parts)):
+            yield at + hit, whole
+            pos = i - len(z.unused_data)
+        else:
+            pos = hit + 1
 
 
 def parse(whole: bytes) -> tuple[dict[str, str], bytes]:
@@ -159,6 +172,9 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
     """The records of archives given as (path, size); files are cut into ranges of ``split`` bytes."""
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + split)
+    # a task for each range, up to a number that a driver can plan; a given number of partitions is not merged
+    n = files.agg(F.sum(F.ceil(F.greatest("size", F.lit(1)) / split))).first()[0] or 1
+    ranges = ranges.repartitionByRange(max(1, min(TASKS, int(n))), "path", "start")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +193,7 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(run, RECORD)
+    return ranges.mapInArrow(run, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
