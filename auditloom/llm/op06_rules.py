@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import WORD, table, words
+from auditloom.plans.staging import stage
 
 WINDOW = 5
 
@@ -121,12 +122,21 @@ def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFr
     return j.groupBy("version", "rule").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(only, F.col("n")).otherwise(0)).alias("n_only"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once; policies and ablations read these few bytes a document and no text."""
+    return stage(ledger(docs), "ledger")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
+    led = stored(table(spark, sf_dir, "documents", "doc_id", "text"))
     base, last = ~apply(led, BASE), apply(led, POLICIES[1])
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & last).alias("kept"), "failed")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(stored(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 SQL = r"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
@@ -143,3 +153,12 @@ h AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
   + (CASE WHEN n_words >= 10 AND word_chars / n_words > 20 THEN 64 ELSE 0 END) + (CASE WHEN n_words >= 10 AND n_exclaims / n_words > 0.3 THEN 128 ELSE 0 END) AS failed FROM g)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 159 = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM h"""
+
+
+def _ablations_sql() -> str:
+    spec = ", ".join(f"('{p.version}', '{r}', {BIT[r]}, {p.mask})" for p in POLICIES for r in p.rules)
+    return f"""SELECT version, rule, CAST(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN failed & mask = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only
+FROM ({SQL}) CROSS JOIN (VALUES {spec}) AS p(version, rule, bit, mask) GROUP BY version, rule"""
+
+
+ABLATIONS_SQL = _ablations_sql()
