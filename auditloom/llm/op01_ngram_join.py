@@ -7,13 +7,17 @@ to their members, which are verified exactly.
 
 How it stays whole and bounded:
 
-* Shingles that one text alone holds cannot link anything.  A first pass deals every shingle hash, packed, to the
-  bucket of its hash range, where the number of its holders is counted; only shingles with two holders or more return to
-  the batch they came from.  They suffice to verify, since an intersection has no others.
+* Shingles that one text alone holds cannot link anything.  A first pass deals the shingle hashes of each batch of texts,
+  packed, to the buckets of their hash ranges, where the number of their holders is counted; only shingles with two holders
+  or more return to the batch they came from.  They suffice to verify, since an intersection has no others.  A batch sends
+  a shingle once, with its number of holders in the batch, so a very common one is a row a batch in its bucket, not a
+  row a text; which texts of the batch hold it does not pass through the bucket's count.
 * Only components are wanted.  So a key's groups are first compared with one leader (a number of pairs in proportion to
   the keys), components are formed, and only keys with groups in different components stay.  After some such rounds,
-  with leaders drawn anew, the pairs of one key that still lie apart are compared in full: large groups of copies
-  never become all their pairs, and no link that matters is lost.
+  with leaders drawn anew, the classes of a key that still lie apart are compared by rising numbers of leaders, each
+  class once with every leader before it, until no key is left that could tell anything: large groups of copies never
+  become all their pairs, and no link that matters is lost.  Only texts that share a prefix shingle, fit in size and place
+  and are not linked by anything else are compared pair by pair.
 
 Shingles are compared by 64-bit hashes.
 
@@ -41,8 +45,9 @@ from auditloom.plans.staging import stage
 N = 5
 #: Similarity as a fraction of whole numbers: 100 * shared >= 80 * union.
 PERCENT = 80
-#: Rounds in which groups are compared with leaders only.
+#: Rounds in which groups are compared with one leader only; in the first round after them a key has about so many leaders.
 LEADERS = 3
+FIRST = 8
 #: Characters of text to a bucket of hashes: a bucket holds about a sixth as many shingles, ten bytes each.
 BUCKET_CHARS = 8 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -86,6 +91,8 @@ def _unplaned(raw: bytes) -> np.ndarray:
 
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Stands for a place where several texts of a batch hold a shingle.
+_SEVERAL = np.int32(-1)
 _META = np.dtype([("id", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8"), ("own", "<i4")])
 
 
@@ -94,7 +101,7 @@ def _deal(buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, count = WordHashes(), TaskContext.get().partitionId(), 0
-        for b in in_blocks(batches, "text", 6 << 20):
+        for b in in_blocks(batches, "text", 6 << 20, rows=1 << 15):
             batch, count = part << 24 | count, count + 1
             meta = np.zeros(b.num_rows, dtype=_META)
             all_h, all_d, seen = [], [], {}
@@ -107,43 +114,52 @@ def _deal(buckets: int):
                 if own == i and len(h):
                     all_h.append(h)
                     all_d.append(np.full(len(h), i, dtype=np.uint16))
-            rows: list[tuple] = [(batch % buckets, batch, None, None, meta.tobytes())]
+            rows: list[tuple] = []
+            many = (b"", b"", b"")
             if all_h:
                 h, d = np.concatenate(all_h), np.concatenate(all_d)
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                n = np.diff(np.append(first, len(h)))
+                # what several texts of the batch hold: their places stay with the batch, the bucket gets one row
+                several = n > 1
+                many = (h[first[several]].tobytes(), d[np.repeat(several, n)].tobytes(), n[several].astype(np.uint16).tobytes())
+                h, d, n = h[first], d[first], n.astype(np.uint16)
                 of = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cuts = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
-                rows += [(k, batch, _planes(h[x:y]), d[x:y].tobytes(), None) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                rows = [(k, batch, _planes(h[x:y]), d[x:y].tobytes(), n[x:y].tobytes(), None) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            rows.append((batch % buckets, batch, *many, meta.tobytes()))
             cols = list(zip(*rows))
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["bucket", "batch", "h", "d", "meta"])
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["bucket", "batch", "h", "d", "n", "meta"])
 
     return run
 
 
 def _count(t: pa.Table) -> pa.Table:
-    """A bucket: the shingles that two texts or more hold go back to their batches, with that number."""
-    hs, ds, bs, back = [], [], [], []
+    """A bucket: the shingles that two texts or more hold go back to their batches, with that number.  Rows with ``meta`` only
+    pass through."""
+    hs, ds, ns, bs, back = [], [], [], [], []
     batches = t.column("batch").to_pylist()
-    for i, (h, d, meta) in enumerate(zip(t.column("h").to_pylist(), t.column("d").to_pylist(), t.column("meta").to_pylist())):
-        if meta is not None:
-            back.append((batches[i], None, None, None, meta))
-        if h is not None:
-            hs.append(_unplaned(h))
-            ds.append(np.frombuffer(d, dtype=np.uint16))
-            bs.append(np.full(len(ds[-1]), i, dtype=np.int32))
+    for i, (h, d, n, meta) in enumerate(zip(*(t.column(c) for c in ("h", "d", "n", "meta")))):
+        if meta.is_valid:
+            back.append((batches[i], h.as_py(), n.as_py(), d.as_py(), meta.as_py()))
+            continue
+        hs.append(_unplaned(h.as_py()))
+        ds.append(np.frombuffer(d.as_py(), dtype=np.uint16))
+        ns.append(np.frombuffer(n.as_py(), dtype=np.uint16))
+        bs.append(np.full(len(ds[-1]), i, dtype=np.int32))
     if hs:
-        h, d, b = np.concatenate(hs), np.concatenate(ds), np.concatenate(bs)
-        del hs, ds, bs
+        h, d, n, b = np.concatenate(hs), np.concatenate(ds), np.concatenate(ns), np.concatenate(bs)
+        del hs, ds, ns, bs
         order = np.argsort(h, kind="stable")
         h = h[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        n = np.diff(np.append(first, len(h))).astype(np.int32)
-        df = np.repeat(n, n)
+        df = np.repeat(np.minimum(np.add.reduceat(n[order].astype(np.int64), first), np.iinfo(np.int32).max).astype(np.int32), np.diff(np.append(first, len(h))))
         keep = df > 1
         h, df, order = h[keep], df[keep], order[keep]
-        d, b = d[order], b[order]
+        d, b = np.where(n[order] > 1, _SEVERAL, d[order].astype(np.int32)), b[order]
         order = np.argsort(b, kind="stable")
         h, df, d, b = h[order], df[order], d[order], b[order]
         cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else []
@@ -152,16 +168,35 @@ def _count(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, type=k) for c, k in zip(cols, [pa.int64(), *[pa.binary()] * 4])], ["batch", "h", "df", "d", "meta"])
 
 
+def _places(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(meta, h, df, d) of a batch: shared shingles, their numbers of holders, and the places of the texts that hold them."""
+    metas, hs, dfs, ds, many = [], [], [], [], []
+    for h, df, d, meta in zip(*(t.column(c).to_pylist() for c in ("h", "df", "d", "meta"))):
+        if meta is not None:
+            metas.append(np.frombuffer(meta, dtype=_META))
+            many.append((np.frombuffer(h, dtype=np.uint64), np.frombuffer(df, dtype=np.uint16), np.frombuffer(d, dtype=np.uint16)))
+        else:
+            hs.append(np.frombuffer(h, dtype=np.uint64))
+            dfs.append(np.frombuffer(df, dtype=np.int32))
+            ds.append(np.frombuffer(d, dtype=np.int32))
+    empty = [np.empty(0, dtype=x) for x in (np.uint64, np.int32, np.int32)]
+    h, df, d = (np.concatenate([e, *x]) for e, x in zip(empty, (hs, dfs, ds)))
+    own = d == _SEVERAL
+    order = np.argsort(h[own], kind="stable")
+    mh, mdf = h[own][order], df[own][order]
+    parts = [(h[~own], df[~own], d[~own])]
+    for x, n, places in many:
+        # all of a batch's shingles with several holders come back
+        parts.append((np.repeat(x, n), np.repeat(mdf[np.searchsorted(mh, x)], n), places.astype(np.int32)))
+    return np.concatenate(metas), *(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+
 def _prefixes(percent: int):
     """A batch: per document its size, the two fingerprints of its set, and, if its prefix has shared shingles, the shared
     shingles in the global order and how many of them belong to the prefix."""
 
     def run(t: pa.Table) -> pa.Table:
-        col = lambda c: [x for x in t.column(c).to_pylist() if x is not None]
-        meta = np.concatenate([np.frombuffer(x, dtype=_META) for x in col("meta")])
-        h = np.frombuffer(b"".join(col("h")), dtype=np.uint64)
-        df = np.frombuffer(b"".join(col("df")), dtype=np.int32)
-        d = np.frombuffer(b"".join(col("d")), dtype=np.uint16)
+        meta, h, df, d = _places(t)
         order = np.lexsort((h, df, d))
         h, d = h[order].view(np.int64), d[order]
         at = np.searchsorted(d, np.arange(len(meta) + 1))
@@ -185,7 +220,7 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(24, -(-chars // BUCKET_CHARS))
-    dealt = docs.mapInArrow(_deal(buckets), "bucket int, batch long, h binary, d binary, meta binary")
+    dealt = docs.mapInArrow(_deal(buckets), "bucket int, batch long, h binary, d binary, n binary, meta binary")
     counted = dealt.groupBy("bucket").applyInArrow(_count, "batch long, h binary, df binary, d binary, meta binary")
     return stage(counted.groupBy("batch").applyInArrow(_prefixes(percent), "doc_id long, n long, f1 long, f2 long, m int, lone long, tokens array<bigint>"), "sets")
 
@@ -199,10 +234,6 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _fits(x: Column, y: Column, percent: int) -> Column:
-    return (100 * F.least(x, y)) >= percent * F.greatest(x, y)
-
-
 def _reaches(n: str, p: str, m: str, r: str, percent: int) -> Column:
     """Whether sets of the sizes n and m whose first common shingle is at the places p and r can still be similar: what they
     share lies at those places or behind them."""
@@ -227,42 +258,69 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     band = F.floor(F.log(F.col("n")) / F.lit(-np.log(percent / 100)))
     keys = stage(groups.select("g", "n", "lone", band.alias("band"), F.posexplode("prefix").alias("p", "h")).withColumn("p", F.col("p") + F.col("lone")).drop("lone"), "keys")
     links: DataFrame | None = None
-    placed = members.select("c", "g", "n", F.col("c").alias("q"))
     open_keys = keys.withColumn("q", F.lit(None).cast("long"))
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            # one leader for each key and band: the smallest id first, then one drawn anew for every key
-            drawn = F.col("g") if turn == 0 else F.xxhash64("g", "h", F.lit(turn))
-            lead = open_keys.groupBy("h", "band").agg(F.min(F.struct(drawn.alias("r"), "g", "n", "p", "q")).alias("_l"), F.count("*").alias("_n"))
-            lead = lead.where("_n > 1").select("h", "band", F.col("_l.g").alias("l"), F.col("_l.n").alias("nl"), F.col("_l.p").alias("pl"), F.col("_l.q").alias("ql"))
-            near = open_keys.join(lead, ["h", "band"]).where((F.col("g") != F.col("l")) & _reaches("n", "p", "nl", "pl", percent))
-            near = near.where(~F.coalesce(F.col("q") == F.col("ql"), F.lit(False)))
-            pairs = near.select(F.least("g", "l").alias("a"), F.greatest("g", "l").alias("b"))
-            if turn == 0:
-                pairs = pairs.unionByName(members.where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b")))
-        else:
-            # whatever is still apart, in full
-            x = open_keys.select("h", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa"))
-            y = open_keys.select("h", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("q").alias("qb"))
-            apart = ~F.coalesce(F.col("qa") == F.col("qb"), F.lit(False))
-            gp = x.join(y, "h").where((F.col("ga") <= F.col("gb")) & apart & _fits(F.col("na"), F.col("nb"), percent) & _reaches("na", "pa", "nb", "pb", percent)).select("ga", "gb").distinct()
-            ma = placed.select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("q").alias("qa"))
-            mb = placed.select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("q").alias("qb"))
-            rest = gp.join(ma, "ga").join(mb, "gb").where((F.col("qa") != F.col("qb")) & (F.col("a") != F.col("b")))
-            pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(LEADERS):
+        # one leader for each key and band: the smallest id first, then one drawn anew for every key
+        drawn = F.col("g") if turn == 0 else F.xxhash64("g", "h", F.lit(turn))
+        lead = open_keys.groupBy("h", "band").agg(F.min(F.struct(drawn.alias("r"), "g", "n", "p", "q")).alias("_l"), F.count("*").alias("_n"))
+        lead = lead.where("_n > 1").select("h", "band", F.col("_l.g").alias("l"), F.col("_l.n").alias("nl"), F.col("_l.p").alias("pl"), F.col("_l.q").alias("ql"))
+        near = open_keys.join(lead, ["h", "band"]).where((F.col("g") != F.col("l")) & _reaches("n", "p", "nl", "pl", percent))
+        near = near.where(~F.coalesce(F.col("q") == F.col("ql"), F.lit(False)))
+        pairs = near.select(F.least("g", "l").alias("a"), F.greatest("g", "l").alias("b"))
+        if turn == 0:
+            pairs = pairs.unionByName(members.where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b")))
         new = stage(_linked(pairs.distinct(), classes, percent), "links")
         links = new if links is None else links.unionByName(new)
-        if turn == LEADERS:
-            break
-        comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), "component")
-        placed = stage(members.join(comp, "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("q")), "placed")
+        placed = _placed(members, links)
         # a group's component, null if its members are in several
         of = placed.groupBy("g").agg(F.min("q").alias("_0"), F.max("q").alias("_1")).select("g", F.when(F.col("_0") == F.col("_1"), F.col("_0")).alias("q"))
-        kq = keys.join(of, "g")
-        # a key with groups of one component only has nothing more to tell
-        apart = kq.groupBy("h").agg(F.min("q").alias("_0"), F.max("q").alias("_1"), F.count_if(F.col("q").isNull()).alias("_n")).where("_0 != _1 OR _n > 0").select("h")
-        open_keys = stage(kq.join(apart, "h"), "open")
-    return rows, classes, links
+        open_keys = stage(_open(keys.join(of, "g")), "open")
+    return rows, classes, _by_rising_leaders(open_keys, members, placed, classes, links, percent)
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(c, g, n, q): the classes with their components so far."""
+    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), "component")
+    return stage(members.join(comp, "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("q")), "placed")
+
+
+def _open(keys: DataFrame) -> DataFrame:
+    """The rows of those shingles that are held in more components than one; the others have nothing more to tell."""
+    apart = keys.groupBy("h").agg(F.min("q").alias("_0"), F.max("q").alias("_1"), F.count_if(F.col("q").isNull()).alias("_n")).where("_0 != _1 OR _n > 0").select("h")
+    return keys.join(apart, "h", "left_semi")
+
+
+def _by_rising_leaders(open_keys: DataFrame, members: DataFrame, placed: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` with whatever the open keys still hold.
+
+    Every class has a pseudorandom place u in [0, 1) on each of its shingles.  A round's leaders on a shingle with M classes are those
+    with a place from ``lo / M`` up to ``hi / M``; classes with higher places are compared with them, so a pair meets
+    once, when its lower one leads, unless a link between the two components was found before.  A round multiplies the
+    leaders by four, and the loop ends when every class of every open shingle has led."""
+    one = open_keys.select("g", "band", "h", "p").join(placed, "g")
+    one = one.withColumn("u", F.shiftrightunsigned(F.xxhash64("c", "h"), 11).cast("double") / F.lit(float(1 << 53)))
+    lo, hi = 0, FIRST
+    while True:
+        sized = one.join(one.groupBy("h").agg(F.count("*").alias("m")), "h").where(F.col("m") > lo)
+        one = stage(_open(sized).drop("m"), "apart")
+        m = one.groupBy("h").agg(F.count("*").alias("m"))
+        largest = m.agg(F.max("m")).first()[0]
+        if largest is None or largest <= lo:
+            return links
+        # sizes that fit each other are in one band or in neighbouring ones: the smaller set looks in its own and the next
+        at = one.join(m, "h")
+        lead = at.where((F.col("u") * F.col("m") >= lo) & (F.col("u") * F.col("m") < hi))
+        lead = lead.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("c").alias("l"), F.col("n").alias("nl"), F.col("p").alias("pl"), F.col("q").alias("ql"), F.col("u").alias("ul"))
+        near = one.join(lead, ["h", "band"]).where((F.col("q") != F.col("ql")) & (F.struct("u", "c") > F.struct(F.col("ul"), F.col("l"))))
+        fits = (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")) & _reaches("n", "p", "nl", "pl", percent)
+        pairs = near.where(fits).select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
+        new = stage(_linked(pairs.distinct(), classes, percent), "links")
+        links = links.unionByName(new)
+        if largest <= hi:
+            return links
+        placed = _placed(members, links)
+        one = one.drop("q").join(placed.select("c", "q"), "c")
+        lo, hi = hi, hi * 4
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -277,14 +335,29 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = of.join(comp, "c", "left").select("n", "f1", "f2", F.coalesce("component", "c").alias("component"))
     out = rows.where("n > 0").join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(none)
+    return out.unionByName(none).unionByName(_without_id(docs))
+
+
+def _without_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the rows without an id: their sets are counted, and link nothing."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in in_blocks(batches, "text", 6 << 20, rows=1 << 15):
+            n = pa.array([len(shingles(t.as_py(), hashes)) for t in b.column("text")], type=pa.int64())
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, n, none], ["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id IS NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows whose id is not its component's smallest.  Rows
     without an id or without words are kept."""
-    gone = components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_d"), "left_anti")
+    gone = components(docs.where("doc_id IS NOT NULL"), percent).where("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct()
+    # the input's columns travel in one, so that none of their names can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
