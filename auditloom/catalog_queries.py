@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from auditloom.functions import urls as U
 from auditloom.functions.constants import DEFAULT_WIDTH, WIDTHS
 from auditloom.operators import catalog, depth, diff, page_rules, reports, site_rules
 from auditloom.operators.near import near_duplicates
-from auditloom.plans import derived
+from auditloom.plans import derived, fixtures
 from auditloom.plans.model import Crawl
+from auditloom.plans.staging import stage
 from auditloom.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +38,14 @@ def _fx(sql: str) -> str:
 
 
 # -- one page at a time: the tables' own HTML ------------------------------------------------------------------------
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, parsed; every one counts as an indexable answer of status 200."""
+def parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The pages, parsed for these fields (all, if none are named); every one counts as an indexable answer of status 200."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    cores = spark.sparkContext.defaultParallelism
+    if raw.rdd.getNumPartitions() < cores:  # parsing costs far more than dealing a few files to all cores
+        raw = raw.repartition(cores)
     more = {"status_code": F.lit(200), "is_html": F.lit(True), "is_indexable": F.lit(True), "indexability_reason": F.lit(None).cast("string"), "ttfb_ms": F.lit(None).cast("int"), "x_robots_tag": F.lit(None).cast("string")}
-    return html.parse(raw).withColumns(more)
+    return html.parse(raw, fields=fields or None).withColumns(more)
 
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
@@ -48,58 +53,90 @@ _DECODED = f"trim(regexp_replace(replace(replace(replace(replace(replace({_TITLE
 _BODY = "regexp_replace(regexp_replace(html, '(?s)<(head|title)[^>]*>.*?</(head|title)>|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 _WORDS = rf"len(regexp_extract_all({_BODY}, '\S+'))"
 _PAGE_ORACLES = {
-    "META-TITLE-MISSING": f"trim({_TITLE}) = ''",
     "META-TITLE-TOO-SHORT": f"trim({_TITLE}) <> '' AND length(trim({_TITLE})) < 30",
     "META-DESC-MISSING": "NOT regexp_matches(html, '<meta[^>]*name=.description')",
     "META-VIEWPORT-MISSING": "NOT regexp_matches(html, '<meta[^>]*name=.viewport')",
     "CANON-MISSING": "NOT regexp_matches(html, '<link[^>]*rel=.canonical')",
-    "CONTENT-LANG-MISSING": "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) = ''",
-    "CONTENT-H1-MISSING": "trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) = ''",
     "CONTENT-THIN": f"{_WORDS} < 300",
-    "HTTP-LARGE-PAGE": "strlen(html) > 512000",
     "SOCIAL-OG-MISSING": "NOT (contains(html, 'og:title') AND contains(html, 'og:description') AND contains(html, 'og:image'))",
 }
 
 
 def _page_query(id: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return page_rules.evaluate(parsed(spark, sf_dir), {id}).select("url", "rule_id", "severity")
+        return page_rules.evaluate(parsed(spark, sf_dir, *page_rules.fields({id})), {id}).select("url", "rule_id", "severity")
 
     return run
 
 
+# rules that the tables' own pages break
 for _r in page_rules.RULES:
     _name = "page_" + _r.id.lower().replace("-", "_")
-    _sql = _PAGE_ORACLES.get(_r.id, "FALSE")  # the corpus has nothing else for these rules
     if _r.id == "META-TITLE-TOO-LONG":
         query(_name, f"SELECT url, '{_r.id}' AS rule_id, '{_r.severity}' AS severity FROM (SELECT url, (SELECT sum(CASE " + " ".join(f"WHEN strpos('{chars.replace(chr(39), chr(39) * 2)}', c) > 0 THEN {w}" for w, chars in WIDTHS.items()) + f" ELSE {DEFAULT_WIDTH} END) FROM (SELECT unnest(string_split({_DECODED}, '')) AS c)) AS px FROM pages) WHERE px * 20.0 / 1000 > 580")(_page_query(_r.id))
-    elif _r.id == "LINK-ANCHOR-GENERIC" or _r.id.startswith("HTTP-MIXED"):
-        query(_name)(_page_query(_r.id))
-    else:
-        query(_name, f"SELECT url, '{_r.id}' AS rule_id, '{_r.severity}' AS severity FROM pages WHERE {_sql}")(_page_query(_r.id))
+    elif _r.id in _PAGE_ORACLES:
+        query(_name, f"SELECT url, '{_r.id}' AS rule_id, '{_r.severity}' AS severity FROM pages WHERE {_PAGE_ORACLES[_r.id]}")(_page_query(_r.id))
+
+
+# -- a made-up site: every rule has pages there that break it --------------------------------------------------------
+def _on_site(id: str, columns: str) -> Query:
+    return lambda spark, sf_dir: site_rules.by_id(id).query(fixtures.crawl(spark, sf_dir)).select(*columns.split())
+
+
+for _r in page_rules.RULES:
+    query("rule_" + _r.id.lower().replace("-", "_"), fixtures.with_site(fixtures.page_sql(_r.id, _r.severity)))(
+        lambda spark, sf_dir, id=_r.id: page_rules.evaluate(fixtures.crawl(spark, sf_dir, page_rules.fields({id})).pages, {id}).select("url", "rule_id", "severity")
+    )
+for _id, (_columns, _sql) in fixtures.SITE_RULES.items():
+    query("rule_" + _id.lower().replace("-", "_"), fixtures.with_site(_sql))(_on_site(_id, _columns))
+
+
+@query("rule_index_sitemap_missing", fixtures.with_site("SELECT 'INDEX-SITEMAP-MISSING' AS rule_id, 'high' AS severity WHERE (SELECT count(*) FROM fxf WHERE in_sitemap AND content_type = 'image/png') = 0"))
+def _(spark, sf_dir):
+    c = fixtures.crawl(spark, sf_dir, {"title"})
+    c = replace(c, urls=c.urls.where("content_type = 'image/png'"))  # the made-up sitemap has no images
+    return site_rules.by_id("INDEX-SITEMAP-MISSING").evaluate(c).select("rule_id", "severity")
+
+
+_AUDITED = {r.id for r in page_rules.RULES} | set(fixtures.SITE_RULES)
+_ALL = " UNION ALL ".join([f"SELECT rule_id, severity FROM ({fixtures.page_sql(r.id, r.severity)})" for r in page_rules.RULES] + [f"SELECT '{k}' AS rule_id, '{site_rules.by_id(k).severity}' AS severity FROM ({sql})" for k, (_, sql) in fixtures.SITE_RULES.items()])
+
+
+@query("audit_site", fixtures.with_site(f"SELECT rule_id, severity, count(*) AS n FROM ({_ALL}) GROUP BY ALL"))
+def _(spark, sf_dir):
+    """The whole audit of the made-up site, of 47 rules as SQL counts them."""
+    return reports.issue_summary(catalog.audit(fixtures.crawl(spark, sf_dir), _AUDITED)).select("rule_id", "severity", "n")
+
+
+@query("audit_overrides", fixtures.with_site(f"SELECT rule_id, CASE rule_id WHEN 'CONTENT-THIN' THEN 'low' ELSE severity END AS severity, count(*) AS n FROM ({_ALL}) WHERE rule_id <> 'HTTP-5XX' AND rule_id IN ('HTTP-5XX', 'CONTENT-THIN', 'META-REFRESH', 'ASSET-FORM-BROKEN') GROUP BY ALL"))
+def _(spark, sf_dir):
+    some = {"HTTP-5XX", "CONTENT-THIN", "META-REFRESH", "ASSET-FORM-BROKEN"}
+    found = catalog.audit(fixtures.crawl(spark, sf_dir), some, {"disable": ["http-5xx"], "severity": {"content-thin": "low"}})
+    return reports.issue_summary(found).select("rule_id", "severity", "n")
 
 
 @query("site_title_duplicate", f"SELECT url, title, pages FROM (SELECT url, {_DECODED} AS title, count(*) OVER (PARTITION BY {_DECODED}) AS pages FROM pages) WHERE title <> '' AND pages > 1")
 def _(spark, sf_dir):
-    c = Crawl(*[parsed(spark, sf_dir).select("url", "title", "is_indexable")] * 3)
+    pages = stage(parsed(spark, sf_dir, "title").select("url", "title", "is_indexable"), "titles")
+    c = Crawl(*[pages] * 3)
     return site_rules.meta_title_duplicate(c).select("url", "title", "pages")
 
 
 @query("links_extract", """SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+"')) FROM pages) GROUP BY page_id""")
 def _(spark, sf_dir):
-    each = parsed(spark, sf_dir).select("page_id", F.explode("links").alias("l")).where("l.element = 'a'")
+    each = parsed(spark, sf_dir, "links").select("page_id", F.explode("links").alias("l")).where("l.element = 'a'")
     return each.groupBy("page_id").agg(F.count("*").alias("links"))
 
 
 @query("links_by_region", """SELECT 'nav' AS region, count(*) AS links FROM (SELECT unnest(regexp_extract_all(html, '<a href="[^"]+"')) FROM pages)""")
 def _(spark, sf_dir):
-    each = parsed(spark, sf_dir).select(F.explode("links").alias("l")).where("l.element = 'a'")
+    each = parsed(spark, sf_dir, "links").select(F.explode("links").alias("l")).where("l.element = 'a'")
     return each.groupBy("l.region").agg(F.count("*").alias("links")).select("region", "links")
 
 
 @query("word_counts", f"SELECT page_id, {_WORDS} AS words FROM pages")
 def _(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", F.col("word_count").cast("long").alias("words"))
+    return parsed(spark, sf_dir, "word_count").select("page_id", F.col("word_count").cast("long").alias("words"))
 
 
 @query(
@@ -136,7 +173,7 @@ def _(spark, sf_dir):
 
 @query("near_duplicate_pages")
 def _(spark, sf_dir):
-    return near_duplicates(parsed(spark, sf_dir).select("url", "text_minhash", "html_hash"))
+    return near_duplicates(parsed(spark, sf_dir, "text_minhash", "html_hash").select("url", "text_minhash", "html_hash"))
 
 
 @query("rule_catalog")
@@ -146,7 +183,7 @@ def _(spark, sf_dir):
 
 @query("audit_pages")
 def _(spark, sf_dir):
-    return page_rules.evaluate(parsed(spark, sf_dir))
+    return page_rules.evaluate(parsed(spark, sf_dir, *page_rules.fields()))
 
 
 # -- whole sites: the derived crawl ----------------------------------------------------------------------------------
@@ -203,7 +240,6 @@ def _(spark, sf_dir):
 
 
 _site("index_deep_page", "INDEX-DEEP-PAGE", "url click_depth", _REACH + "SELECT w_ok.url, depth AS click_depth FROM w_ok JOIN w_depth ON w_depth.url = w_ok.url WHERE depth > 4")
-_site("index_section_disconnected", "INDEX-SECTION-DISCONNECTED", "pages", _REACH + "SELECT count(*) AS pages FROM w_ok WHERE url NOT IN (SELECT url FROM w_depth) HAVING count(*) > 0")
 
 
 @query("deep_page_shape", _fx(_REACH + "SELECT count(*) AS pages, quantile_disc(depth, 0.25) AS q1, quantile_disc(depth, 0.5) AS median, quantile_disc(depth, 0.75) AS q3, max(depth) AS deepest FROM w_depth WHERE depth > 4"))

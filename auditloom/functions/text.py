@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from auditloom.functions import constants as K
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, where ``f`` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | c.rlike(r"^\s*$")
 
@@ -57,10 +63,10 @@ def fold_python(text: str) -> str:
 
 
 def is_generic_anchor(folded: Column, lang: Column) -> Column:
-    everywhere = sorted({fold_python(p) for phrases, _ in K.GENERIC_ANCHORS.values() for p in phrases.split("|")})
+    everywhere = sorted({fold_python(p) for phrases, _ in K.GENERIC_ANCHORS.values() for p in phrases})
     out = folded.isin(everywhere)
     for code, (_, declared) in K.GENERIC_ANCHORS.items():
-        out = out | ((primary_language(lang) == code) & folded.isin(sorted({fold_python(p) for p in declared.split("|")})))
+        out = out | ((primary_language(lang) == code) & folded.isin(sorted({fold_python(p) for p in declared})))
     return F.coalesce(out, F.lit(False))
 
 
@@ -89,17 +95,13 @@ def check_code(code: Column) -> Column:
     script = lambda p: F.lower(p).isin(sorted(K.SCRIPTS))
     second, third, n = F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.size(parts)
     region = F.when((n == 2) & ~script(second), second).when(n == 3, third)
-    good_region = F.upper(region).isin(sorted(regions_of())) | region.isin(sorted(K.M49))
+    good_region = F.upper(region).isin(sorted(K.regions())) | region.isin(sorted(K.M49))
     return (
         F.when(c == "", "empty").when(c.contains("_"), "separator").when(F.lower(c) == "x-default", F.lit(None)).when((F.lower(c) == "x") | F.lower(c).startswith("x-"), "private_use")
         .when(n > 3, "structure").when(~lang.isin(known), "language").when((n == 3) & ~script(second), "structure").when(region.isNotNull() & ~good_region, "region")
     )
 
 
-def regions_of() -> frozenset[str]:
-    return K.regions()
-
-
 def suggest_code(code: Column, reason: Column) -> Column:
     """A likely repair of a wrong code, or null."""
     c = F.trim(code)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditloom.plans.staging import Stages
@@ -18,9 +18,13 @@ def click_depth(links: DataFrame, seeds: DataFrame) -> DataFrame:
     front = st.put(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     seen, parts = front, [front]
     for level in count(1):
-        nxt = edges.join(front.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
-        nxt = st.put(nxt.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)), "level")
-        if nxt.isEmpty():
+        found = edges.join(front.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
+        # of what was seen only the found ones matter: where these are few, they go to it, and it is not shuffled
+        known = seen.select("url").join(found, "url", "left_semi")
+        rows = Observation()
+        nxt = found.join(known, "url", "left_anti").withColumn("depth", F.lit(level)).observe(rows, F.count("*").alias("n"))
+        nxt = st.put(nxt, "level")  # the same job counts the rows
+        if not rows.get["n"]:
             break
         seen = seen.unionByName(nxt)
         parts.append(nxt)

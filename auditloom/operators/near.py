@@ -1,4 +1,5 @@
-"""Near-duplicate pages: MinHash signatures, banded; one leader in each bucket, components, then what is still apart."""
+"""Near-duplicate pages: MinHash signatures, banded; one leader in each bucket, components, then rising numbers of leaders
+among what is still apart."""
 
 from __future__ import annotations
 
@@ -6,47 +7,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import constants as K
+from auditloom.functions.text import let
 from auditloom.operators.graph import connected_components
 from auditloom.plans.staging import stage
 
+#: Leaders of a bucket in the first round after components are known.
+FIRST = 8
+
 
 def similarity(a: Column, b: Column) -> Column:
     """Share of equal bytes of two signatures, less what chance makes equal."""
     n = K.PERMUTATIONS
-    split = lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.hex(s), 2 * i + 1, F.lit(2)))
-    same = F.size(F.filter(F.zip_with(split(a), split(b), lambda x, y: x == y), lambda x: x))
+    byte = lambda x, i: F.substring(x, 2 * i + 1, F.lit(2))
+    same = let(F.struct(F.hex(a).alias("a"), F.hex(b).alias("b")), lambda s: F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: byte(s["a"], i) == byte(s["b"], i))))
     return (same / n - 1 / 256) / (1 - 1 / 256)
 
 
 def near_duplicates(pages: DataFrame, alternates: DataFrame | None = None, least: float = K.NEAR_SIMILARITY) -> DataFrame:
     """(url, component) of pages (url, text_minhash, html_hash) that are near another.  Pages whose bytes are equal are one
     class, so a group of exact copies does not count by itself; pairs in ``alternates`` (a, b) are no link."""
-    p = pages.where(F.col("text_minhash").isNotNull())
+    p = stage(pages.where(F.col("text_minhash").isNotNull()), "signatures")
     reps = p.groupBy("text_minhash").agg(F.min("url").alias("u"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(K.BANDS - 1)), lambda i: F.substring(F.hex("text_minhash"), 2 * K.BAND_ROWS * i + 1, F.lit(2 * K.BAND_ROWS)))
-    keys = stage(reps.select("u", "text_minhash", F.posexplode(band).alias("band", "k")), "bands")
-    lead = keys.groupBy("band", "k").agg(F.min("u").alias("l"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    band = let(F.hex("text_minhash"), lambda x: F.transform(F.sequence(F.lit(0), F.lit(K.BANDS - 1)), lambda i: F.substring(x, 2 * K.BAND_ROWS * i + 1, F.lit(2 * K.BAND_ROWS))))
+    keys = reps.select("u", F.posexplode(band).alias("band", "k"))
+    # a bucket that one signature alone is in links nothing
+    shared = keys.groupBy("band", "k").agg(F.min("u").alias("l"), F.count("*").alias("m")).where("m > 1")
+    keys = stage(keys.join(shared, ["band", "k"]), "bands")
     sig = reps.select(F.col("u").alias("_u"), F.col("text_minhash").alias("_s"))
+    both = None
+    if alternates is not None:
+        both = stage(alternates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "alternates")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(sig.withColumnRenamed("_u", "a").withColumnRenamed("_s", "sa"), "a").join(sig.withColumnRenamed("_u", "b").withColumnRenamed("_s", "sb"), "b")
+        j = pairs.distinct().join(sig.withColumnRenamed("_u", "a").withColumnRenamed("_s", "sa"), "a").join(sig.withColumnRenamed("_u", "b").withColumnRenamed("_s", "sb"), "b")
         out = j.where(similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b")
-        if alternates is not None:
-            both = alternates.select("a", "b").unionByName(alternates.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-            out = out.join(both, ["a", "b"], "left_anti")
-        return out
-
-    first = keys.join(lead, ["band", "k"]).where("u != l").select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")).distinct()
-    links = stage(verified(first), "links")
-    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = keys.join(comp.select(F.col("id").alias("u"), "component"), "u", "left").select("band", "k", "u", F.coalesce("component", "u").alias("q"))
-    open_ = placed.groupBy("band", "k").agg(F.min("q").alias("_0"), F.max("q").alias("_1")).where("_0 != _1").select("band", "k")
-    left = placed.join(open_, ["band", "k"])
-    x, y = left.select("band", "k", F.col("u").alias("a"), F.col("q").alias("qa")), left.select("band", "k", F.col("u").alias("b"), F.col("q").alias("qb"))
-    rest = x.join(y, ["band", "k"]).where("qa != qb AND a < b").select("a", "b").distinct()
-    links = links.unionByName(stage(verified(rest), "links"))
-    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return stage(out if both is None else out.join(both, ["a", "b"], "left_anti"), "links")
+
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("u"), "component")
+
+    links = verified(keys.where("u != l").select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")))
+    comp = components(links)
+    # a pair meets when its member with the lower place leads, unless their components were joined before
+    place = F.shiftrightunsigned(F.xxhash64("u", "band", "k"), 11).cast("double") / F.lit(float(1 << 53))
+    apart = keys.select("band", "k", "u", place.alias("w"))
+    lo, hi = 0, FIRST
+    while True:
+        q = apart.join(comp, "u", "left").select("band", "k", "u", "w", F.coalesce("component", "u").alias("q"))
+        open_ = q.groupBy("band", "k").agg(F.min("q").alias("_0"), F.max("q").alias("_1"), F.count("*").alias("m")).where(f"_0 != _1 AND m > {lo}")
+        q = stage(q.join(open_.select("band", "k", "m"), ["band", "k"]), "apart")
+        largest = q.agg(F.max("m")).first()[0]
+        if largest is None:
+            break
+        lead = q.where((F.col("w") * F.col("m") >= lo) & (F.col("w") * F.col("m") < hi)).select("band", "k", F.col("u").alias("l"), F.col("w").alias("wl"), F.col("q").alias("ql"))
+        pairs = q.join(lead, ["band", "k"]).where((F.col("q") != F.col("ql")) & (F.struct("w", "u") > F.struct("wl", "l")))
+        links = links.unionByName(verified(pairs.select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b"))))
+        comp = components(links)
+        if largest <= hi:
+            break
+        apart, lo, hi = q.select("band", "k", "u", "w"), hi, hi * 4
     # equal signatures are one class, and so linked
-    of = p.join(reps, "text_minhash").join(comp.select(F.col("id").alias("u"), "component"), "u", "left").select("url", "html_hash", F.coalesce("component", "u").alias("component"))
+    of = p.join(reps, "text_minhash").join(comp, "u", "left").select("url", "html_hash", F.coalesce("component", "u").alias("component"))
     groups = of.groupBy("component").agg(F.count("*").alias("_n"), F.countDistinct("html_hash").alias("_h")).where("_n > 1 AND _h > 1")
     return of.join(groups.select("component"), "component").select("url", "component")

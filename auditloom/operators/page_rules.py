@@ -12,6 +12,7 @@ from auditloom.functions import constants as K
 from auditloom.functions import text as X
 from auditloom.functions import urls as U
 from auditloom.plans.model import ISSUE, json_of
+from auditloom.sources import html
 
 c = F.col
 _FINDING = "array<struct<severity:string,group_key:string,detail_json:string>>"
@@ -121,7 +122,7 @@ simple("META-DESC-TOO-LONG", "low", lambda: idx() & ~X.blank(c("meta_description
 simple("META-DESC-TOO-SHORT", "low", lambda: idx() & ~X.blank(c("meta_description")) & (F.char_length(_d()) < K.DESC_MIN_CHARS), chars=lambda: F.char_length(_d()), min_chars=lambda: F.lit(K.DESC_MIN_CHARS))
 simple("META-VIEWPORT-MISSING", "high", lambda: idx() & X.blank(c("viewport")))
 simple("META-REFRESH", "high", lambda: idx() & ~X.blank(c("refresh")), content=lambda: c("refresh"))
-simple("META-OUTSIDE-HEAD", "high", lambda: ok() & (F.size("outside_head") > 0), lambda: F.concat(F.lit("outside-head:"), c("closed_by"), F.lit(":"), F.array_join("outside_head", ",")), closed_by=lambda: c("closed_by"), tags=lambda: c("outside_head"))
+simple("META-OUTSIDE-HEAD", "high", lambda: ok() & (F.size("outside_head") > 0), lambda: F.concat(F.lit("outside-head:"), F.regexp_extract("closed_by", "^<*([^ >]*)", 1), F.lit(":"), F.array_join("outside_head", ",")), closed_by=lambda: c("closed_by"), tags=lambda: c("outside_head"))
 
 # canonical
 simple("CANON-MISSING", "medium", lambda: idx() & X.blank(c("canonical_raw")))
@@ -237,11 +238,22 @@ def _named(r: PageRule) -> Column:
     return F.transform(F.coalesce(r.evaluate().cast(_FINDING), F.array().cast(_FINDING)), of)
 
 
+def _todo(only: set[str] | None) -> list[PageRule]:
+    return [r for r in RULES if only is None or r.id in only]
+
+
+#: What rules read of a page besides what the parser finds.
+_FETCHED = "url string, status_code int, x_robots_tag string, ttfb_ms int, is_html boolean, is_indexable boolean"
+
+
+def fields(only: set[str] | None = None) -> set[str]:
+    """The fields that the parser must find for these rules, or for all."""
+    return html.fields_of([_named(r) for r in _todo(only)], _FETCHED)
+
+
 def evaluate(pages: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """Findings of all page rules, or of some.  Rules are evaluated in several projections of one pass, so that no single
-    generated method grows too large."""
-    todo = [r for r in RULES if only is None or r.id in only]
-    each = [_named(r) for r in todo]
+    """Findings of all page rules, or of some: one projection and one explode, without a shuffle."""
+    each = [_named(r) for r in _todo(only)]
     if not each:
         return pages.sparkSession.createDataFrame([], ISSUE)
     return pages.select("url", F.explode(F.concat(*each)).alias("f")).select("f.rule_id", "f.severity", "f.category", "url", "f.group_key", "f.detail_json")

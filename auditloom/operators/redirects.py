@@ -1,4 +1,4 @@
-"""Walks along redirects: every URL has one successor at most, so a step is one join, and the number of steps is bounded."""
+"""Walks along redirects: every URL has one successor at most, so paths double in length with each join."""
 
 from __future__ import annotations
 
@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import constants as K
+from auditloom.functions.text import let
+from auditloom.plans.staging import stage
 
 
 def chains(urls: DataFrame, hops: int = K.MAX_REDIRECT_HOPS, heads_only: bool = True) -> DataFrame:
     """(url, final_url, hops, path, loop) from each URL that redirects and, if ``heads_only``, that none redirects to.
-    A walk ends at a URL without successor, at one seen before (a loop) or after ``hops``.  Only redirecting URLs take part
-    in the joins, which Spark broadcasts or shuffles by its own measure of their size."""
-    step = urls.where(F.col("redirect_to").isNotNull()).select(F.col("url").alias("_from"), F.col("redirect_to").alias("_to")).dropDuplicates(["_from"])
-    start = step.select(F.col("_from").alias("url"), F.col("_to").alias("at"), F.array("_from", "_to").alias("path"), (F.col("_from") == F.col("_to")).alias("loop"))
+    A walk ends at a URL without successor, at one seen before (a loop) or after ``hops``.  Only redirecting URLs take part;
+    a path of one step becomes one of two, four and so on by joining it with that of its end, a staged table each time."""
+    step = urls.where(F.col("redirect_to").isNotNull()).select(F.col("url").alias("f"), F.col("redirect_to").alias("t")).dropDuplicates(["f"])
+    step = stage(step, "step")
+    ways, length = step.select("f", F.array("t").alias("way")), 1
+    while length < hops:
+        on = ways.select(F.col("f").alias("at"), F.col("way").alias("more"))
+        longer = F.slice(F.concat("way", F.coalesce("more", F.array().cast("array<string>"))), 1, hops)
+        ways = ways.withColumn("at", F.element_at("way", -1)).join(on, "at", "left").select("f", longer.alias("way"))
+        ways, length = stage(ways, "ways"), 2 * length
     if heads_only:
-        start = start.join(step.select(F.col("_to").alias("url")).distinct(), "url", "left_anti")
-    walk = start
-    for _ in range(hops - 1):
-        go = (F.col("at") == F.col("_from")) & ~F.col("loop")
-        walk = walk.join(step, go, "left").select(
-            "url",
-            F.coalesce("_to", "at").alias("at"),
-            F.when(F.col("_to").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_to"))).alias("path"),
-            (F.col("loop") | F.coalesce(F.array_contains("path", F.col("_to")), F.lit(False))).alias("loop"),
-        )
-    return walk.select("url", F.col("at").alias("final_url"), (F.size("path") - 1).alias("hops"), "path", "loop")
+        ways = ways.join(step.select(F.col("t").alias("f")).distinct(), "f", "left_anti")
+    # cut behind the first URL that the path has had before
+    again = lambda p: F.get(F.filter(F.sequence(F.lit(2), F.size(p)), lambda i: F.array_contains(F.slice(p, F.lit(1), i - 1), F.element_at(p, i))), F.lit(0))
+    cut = let(F.concat(F.array("f"), F.col("way")), lambda p: let(F.struct(p.alias("p"), again(p).alias("i")), lambda s: F.struct(F.slice(s["p"], F.lit(1), F.coalesce(s["i"], F.size(s["p"]))).alias("path"), s["i"].isNotNull().alias("loop"))))
+    out = ways.select(F.col("f").alias("url"), cut.alias("c"))
+    return out.select("url", F.element_at("c.path", -1).alias("final_url"), (F.size("c.path") - 1).alias("hops"), "c.path", "c.loop")
 
 
 def cycles(urls: DataFrame, hops: int = K.MAX_REDIRECT_HOPS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
 from auditloom.functions import urls as U
+from auditloom.plans.staging import stage
 from auditloom.sources import html
 
 #: Columns of a finding.
@@ -27,7 +28,7 @@ class Crawl:
 
     urls: DataFrame
     pages: DataFrame
-    links: DataFrame
+    links: DataFrame | None
     images: DataFrame | None = None
     robots: DataFrame | None = None
     sitemaps: DataFrame | None = None
@@ -69,22 +70,25 @@ def indexability(robots: Column, status: Column, is_html: Column, directives: Co
     )
 
 
-def build(fetches: DataFrame, base_url: str, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, **meta) -> Crawl:
+def build(fetches: DataFrame, base_url: str, robots: DataFrame | None = None, sitemaps: DataFrame | None = None, fields: set[str] | None = None, **meta) -> Crawl:
     """A crawl from (url, status_code, content_type, x_robots_tag, location, body, ttfb_ms, is_internal, in_sitemap,
-    blocked_by_robots, error_kind) rows."""
+    blocked_by_robots, error_kind) rows.  Every page is parsed once: the parsed pages are staged, and all else is read from there.  ``fields`` of the parser leave out others, and links or images with them."""
     f = fetches.withColumns({"redirect_to": U.resolve_udf("url", "location"), "content_length": F.octet_length("body").cast("long")})
     ok_html = F.coalesce(F.lower("content_type").contains("html"), F.lit(False))
     known = f.select(
         "url", "status_code", "redirect_to", "is_internal", "in_sitemap", F.when(F.col("blocked_by_robots"), "excluded").when(F.col("error_kind").isNotNull(), "error").otherwise("done").alias("crawl_state"),
         F.when(F.col("blocked_by_robots"), "robots").alias("exclusion_reason"), "error_kind", "content_type", "content_length", "ttfb_ms", "x_robots_tag",
     )
-    parsed = html.parse(f.where(F.col("body").isNotNull() & ok_html).select("url", "status_code", "x_robots_tag", "ttfb_ms", "blocked_by_robots", "body"), html="body").withColumn("is_html", F.lit(True))
+    parsed = html.parse(f.where(F.col("body").isNotNull() & ok_html).select("url", "status_code", "x_robots_tag", "ttfb_ms", "blocked_by_robots", "body"), html="body", fields=None if fields is None else fields | {"canonical", "meta_robots"}).withColumn("is_html", F.lit(True))
     directives = X.noindex(F.col("meta_robots")) | X.noindex(F.col("x_robots_tag"))
     reason = indexability(F.coalesce("blocked_by_robots", F.lit(False)), F.col("status_code"), F.col("is_html"), directives, F.col("canonical"), F.col("url"))
-    pages = parsed.withColumn("indexability_reason", reason).withColumn("is_indexable", F.col("indexability_reason").isNull())
-    each = pages.select(F.col("url").alias("from_url"), F.explode("links").alias("l")).where("l.url IS NOT NULL")
-    links = each.select("from_url", F.regexp_replace("l.url", r"#(?!!).*$", "").alias("to_url"), "l.element", F.col("l.nofollow").alias("nofollow"), "l.region", "l.position", "l.text", "l.fragment")
-    images = pages.select(F.col("url").alias("from_url"), F.explode("images").alias("i")).select("from_url", "i.*").withColumn("format", U.image_format(F.col("url")))
+    pages = stage(parsed.withColumn("indexability_reason", reason).withColumn("is_indexable", F.col("indexability_reason").isNull()), "pages")
+    links = images = None
+    if "links" in pages.columns:
+        each = pages.select(F.col("url").alias("from_url"), F.explode("links").alias("l")).where("l.url IS NOT NULL")
+        links = each.select("from_url", F.regexp_replace("l.url", r"#(?!!).*$", "").alias("to_url"), "l.element", F.col("l.nofollow").alias("nofollow"), "l.region", "l.position", "l.text", "l.fragment")
+    if "images" in pages.columns:
+        images = pages.select(F.col("url").alias("from_url"), F.explode("images").alias("i")).select("from_url", "i.*").withColumn("format", U.image_format(F.col("url")))
     return Crawl(known, pages, links, images, robots, sitemaps, base_url, **meta)
 
 

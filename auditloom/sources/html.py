@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,14 @@ IMAGE = "struct<src:string,url:string,alt:string,width:bigint,height:bigint,lazy
 SCHEMA = (
     "title string, title_count int, titles array<string>, meta_description string, meta_robots string, viewport string, refresh string, canonical_raw string, canonical string,"
     "canonical_count int, amphtml string, lang string, headings array<struct<level:int,text:string>>, hreflang array<struct<code:string,href:string,url:string>>,"
-    "og array<struct<key:string,value:string>>, twitter array<struct<key:string,value:string>>, schema_types array<string>, word_count int, text_bytes bigint, html_bytes bigint,"
+    "og array<struct<key:string,value:string>>, twitter array<struct<key:string,value:string>>, schema_types array<string>, word_count int, text_bytes bigint, html_bytes bigint, content_ratio double,"
     f"body_text string, outside_head array<string>, closed_by string, ids array<string>, links array<{LINK}>, images array<{IMAGE}>, text_minhash binary, html_hash string, text_hash string"
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_TAGS = set("base basefont bgsound head html link meta noscript script style template title noframes".split())
+RAW_HEAD = set("title script style noscript template noframes".split())
+#: The names in ``SCHEMA``: what stands after a comma that is not inside angle brackets.
+FIELDS = tuple(x.split()[0] for x in re.split(r",\s*(?![^<]*>)", SCHEMA))
 SILENT = set("script style nav footer noscript template".split())
 REGIONS = set("nav main footer aside".split())
 _ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]{1,8}|[A-Za-z]{2,31});")
@@ -90,20 +93,39 @@ def schema_types(blob: str) -> list[str]:
     return list(dict.fromkeys(out))[:64]
 
 
+_BLANK = " \t\n\r\f\ufeff"
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+_TAG = re.compile(r"<\s*[^\s/>]+")
+
+
+def attributes(raw: str) -> list[tuple[str, str | None]]:
+    """The attributes of a start tag's source, decoded like text is."""
+    at = _TAG.match(raw)
+    pairs = ((m[1].lower(), m[2]) for m in _ATTR.finditer(raw, at.end() if at else 0))
+    return [(k, None if v is None else decode_entities(v[1:-1] if v[0] in "\"'" else v)) for k, v in pairs]
+
+
 class Page(HTMLParser):
-    """Keeps a stack of open elements; stray end tags are ignored and void elements never opened."""
+    """Keeps a stack of open elements; stray end tags are ignored and void elements never opened.
 
-    def __init__(self, url: str | None):
+    The head ends where it does for a browser: with its end tag, or with the first element or text that cannot be in it, be it
+    closed or not.  From then on, text is the page's."""
+
+    def __init__(self, url: str | None, links: bool = True, images: bool = True, text: bool = True):
         super().__init__(convert_charrefs=False)
         self.url = url
+        self.want_links, self.want_images, self.want_text = links, images, text
         self.stack: list[str] = []
-        self.row: dict = {"title": None, "title_count": 0, "titles": [], "canonical_count": 0, "headings": [], "hreflang": [], "og": [], "twitter": [], "schema_types": [], "outside_head": [], "ids": [], "links": [], "images": [], "word_count": 0}
+        self.silent = 0  # open elements whose text is not content
+        self.asides = 0
+        self.svgs = 0
+        self.row: dict = {"title": None, "title_count": 0, "titles": [], "canonical_count": 0, "headings": [], "hreflang": [], "og": [], "twitter": [], "schema_types": [], "outside_head": [], "ids": [], "links": [], "images": [], "word_count": 0, "text_bytes": 0}
         self.text: list[str] = []
         self.core: list[str] = []
         self.chunk: list[str] = []
         self.catch: list[tuple[str, list[str]]] = []  # open title, heading, anchor and JSON-LD texts
         self.anchor: dict | None = None
-        self.head_open, self.closed_by, self.position = True, None, 0
+        self.started, self.closed_by, self.position = False, None, 0
 
     # -- text ---------------------------------------------------------------------------------------------------
     def flush(self) -> None:
@@ -112,40 +134,61 @@ class Page(HTMLParser):
             return
         for _, parts in self.catch:
             parts.append(raw + " ")
-        if "svg" in self.stack or not self.stack or SILENT & set(self.stack) or "head" in self.stack or "title" in self.stack:
+        if not self.started:
+            if RAW_HEAD & set(self.stack) or not (seen := raw.strip(_BLANK)):
+                return
+            if "head" in self.stack or not self.stack:
+                self.start_body(f'#text "{seen[:40].rstrip()}"')
+        if self.silent:
             return
-        if raw.strip():
-            self.leave_head("text") if "body" not in self.stack else None
-        self.row["word_count"] += len(raw.split())
-        self.text.append(raw)
-        if "aside" not in self.stack:
+        words = raw.split()
+        self.row["word_count"] += len(words)
+        if not self.asides:
             self.core.append(raw)
+        if words and self.want_text:
+            self.text.append(raw.strip())
+        if words:
+            self.row["text_bytes"] += len(raw.strip().encode("utf-8", "surrogatepass"))
 
     def handle_data(self, data: str) -> None:
         self.chunk.append(data)
 
     def handle_entityref(self, name: str) -> None:
-        self.chunk.append(f"&{name};")
+        # the tokenizer also reports names without their semicolon; what stood there tells
+        end = ";" if self.source.startswith(f"&{name};", self._at()) else ""
+        self.chunk.append(f"&{name}{end}")
 
     def handle_charref(self, name: str) -> None:
-        self.chunk.append(f"&#{name};")
+        end = ";" if self.source.startswith(f"&#{name};", self._at()) else ""
+        self.chunk.append(f"&#{name}{end}")
 
     # -- head ---------------------------------------------------------------------------------------------------
-    def leave_head(self, by: str) -> None:
-        if self.head_open:
-            self.head_open, self.closed_by = False, by
+    def start_body(self, by: str) -> None:
+        if not self.started:
+            self.started, self.closed_by = True, by
 
     def outside(self, what: str) -> None:
-        if not self.head_open and self.closed_by not in (None, "/head", "body") and what not in self.row["outside_head"]:
+        if self.started and what not in self.row["outside_head"]:
             self.row["outside_head"].append(what)
 
+    def closes_head(self, tag: str, a: dict[str, str]) -> None:
+        """An element that cannot be in a head starts the body: one in the head, next to it, or before it."""
+        if self.started or tag in HEAD_TAGS or (RAW_HEAD & set(self.stack)):
+            return
+        if "head" in self.stack or not self.stack or self.stack[-1] == "html":
+            from_ = next((f' {k}="{a[k][:80]}"' for k in ("src", "href", "id", "class", "name") if k in a), "")
+            self.start_body(f"<{tag}{from_}>")
+
     # -- tags ---------------------------------------------------------------------------------------------------
     def link(self, element: str, href: str | None, **more) -> dict | None:
         if href is None or not href.strip():
             return None
         href = href.strip()
-        region = next((t for t in reversed(self.stack) if t in REGIONS), "unknown")
-        x = {"element": element, "href": href, "url": normalize(href, self.url), "fragment": decode_entities(href.partition("#")[2]).strip() if "#" in href else None, "text": None, "rel": None, "nofollow": False, "region": region, "position": self.position, "labelled": False, "has_image": False} | more
+        x = {"element": element, "href": href, "url": None, "fragment": None, "text": None, "rel": None, "nofollow": False, "region": "unknown", "position": self.position, "labelled": False, "has_image": False} | more
+        if self.want_links:
+            x["url"] = normalize(href, self.url)
+            x["region"] = next((t for t in reversed(self.stack) if t in REGIONS), "unknown")
+            x["fragment"] = link_fragment(href)
         self.position += 1
         self.row["links"].append(x)
         return x
@@ -157,18 +200,19 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.flush()
-        a = {k: decode_entities(v or "") if v is not None else "" for k, v in reversed(attrs)}
-        if tag not in HEAD_TAGS:
-            self.leave_head("body" if tag == "body" else tag)
+        source = self.get_starttag_text() or ""
+        if "&" in source:  # the tokenizer decodes by another table
+            attrs = attributes(source)
+        a = {k: v or "" for k, v in reversed(attrs)}
+        self.closes_head(tag, a)
         if a.get("id"):
             self.row["ids"].append(a["id"])
         if tag == "a" and a.get("name"):
             self.row["ids"].append(a["name"])
-        in_svg = "svg" in self.stack
         r = self.row
         if tag == "html":
             r.setdefault("lang", a.get("lang"))
-        elif tag == "title" and not in_svg:
+        elif tag == "title" and not self.svgs:
             r["title_count"] += 1
             self.outside("title")
             self.catch.append(("title", []))
@@ -194,28 +238,36 @@ class Page(HTMLParser):
             self.link("form", a.get("action"))
         if tag not in VOID:
             self.stack.append(tag)
+            self.count(tag, 1)
+
+    def count(self, tag: str, by: int) -> None:
+        if tag in SILENT:
+            self.silent += by
+        elif tag == "aside":
+            self.asides += by
+        elif tag == "svg":
+            self.svgs += by
 
     def meta(self, a: dict[str, str]) -> None:
         r, content = self.row, a.get("content")
         if a.get("http-equiv", "").strip().lower() == "refresh":
             r["refresh"] = content
             return
-        name, prop = a.get("name", "").strip().lower(), a.get("property", "").strip().lower()
-        if content is not None:
-            if name == "description":
-                r["meta_description"] = collapse(content)
-                self.outside("description")
-            elif name == "robots":
-                r["meta_robots"] = content
-                self.outside("robots")
-            elif name == "viewport":
-                r["viewport"] = content
-            elif name.startswith("twitter:"):
-                r["twitter"].append({"key": name, "value": content})
-            if prop.startswith("og:"):
-                if prop == "og:image" and content.strip() and not any(x["element"] == "meta" for x in r["links"]):
-                    self.link("meta", content)
-                r["og"].append({"key": prop, "value": content})
+        name, prop = a.get("name", "").lower(), a.get("property", "").lower()
+        if name in ("description", "robots", "googlebot"):
+            self.outside("meta description" if name == "description" else "meta robots")
+        if name == "description":
+            r["meta_description"] = content
+        elif name == "robots":
+            r["meta_robots"] = content
+        elif name == "viewport":
+            r["viewport"] = content
+        elif content is not None and name.startswith("twitter:"):
+            r["twitter"].append({"key": name, "value": content})
+        elif content is not None and prop.startswith("og:"):
+            if prop == "og:image" and content.strip() and not any(x["key"] == "og:image" for x in r["og"]):
+                self.link("meta", content, rel=prop)
+            r["og"].append({"key": prop, "value": content})
 
     def rel(self, a: dict[str, str]) -> None:
         rel, href, r = a.get("rel", "").strip().lower(), a.get("href"), self.row
@@ -239,23 +291,25 @@ class Page(HTMLParser):
         if not src or src.startswith("data:"):
             late = next((a[k].strip() for k in ("data-src", "data-lazy-src", "data-original", "data-lazy") if a.get(k, "").strip()), "")
             if not late and a.get("srcset", "").strip():
-                late = a["srcset"].split(",")[0].split()[0]
+                late = (a["srcset"].split(",")[0].split() or [""])[0]
             src, lazy = late or src, bool(late)
-        number = lambda k: int(a[k]) if re.fullmatch(r"[+-]?\d{1,18}", a.get(k, "")) else None
         if self.anchor:
             self.anchor["has_image"] = True
-        self.row["images"].append({"src": src, "url": normalize(src, self.url) if src else None, "alt": a.get("alt"), "width": number("width"), "height": number("height"), "lazy": lazy, "anchor": self.anchor["position"] if self.anchor else None})
+        if self.want_images:
+            number = lambda k: int(a[k]) if re.fullmatch(r"[+-]?\d{1,18}", a.get(k, "")) else None
+            self.row["images"].append({"src": src, "url": normalize(src, self.url) if src else None, "alt": a.get("alt"), "width": number("width"), "height": number("height"), "lazy": lazy, "anchor": self.anchor["position"] if self.anchor else None})
         if src:
             self.link("img", src)
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
-        if tag == "head":
-            self.leave_head("/head")
         if tag not in self.stack:
             return
-        while self.stack and self.stack.pop() != tag:
-            pass
+        while self.stack:
+            top = self.stack.pop()
+            self.count(top, -1)
+            if top == tag:
+                break
         for i in range(len(self.catch) - 1, -1, -1):
             kind, parts = self.catch[i]
             if kind == tag:
@@ -277,44 +331,72 @@ class Page(HTMLParser):
         elif tag[0] == "h":
             r["headings"].append({"level": int(tag[1]), "text": collapse(raw)})
 
+    def _at(self) -> int:
+        """Where the tokenizer stands in what it was fed."""
+        line, column = self.getpos()
+        return self._starts[line - 1] + column
+
+    def feed(self, data: str) -> None:
+        self.source = data
+        self._starts = [0, *(m.end() for m in re.finditer("\n", data))]
+        super().feed(data)
+
+
+def link_fragment(href: str) -> str | None:
+    """What stands behind ``#``, as a URL spells it: blanks, quotes, angle brackets and whatever is not ASCII as %XX."""
+    if "#" not in href:
+        return None
+    tail = re.sub(r"[\t\n\r]", "", decode_entities(href).partition("#")[2].rstrip("".join(map(chr, range(33)))))
+    return "".join(chr(b) if 32 < b < 127 and chr(b) not in "\"<>`" else f"%{b:02X}" for b in tail.encode("utf-8", "surrogatepass")) or None
+
 
-def parse_page(text: str | None, url: str | None) -> dict:
-    """One page as a row of ``SCHEMA``; null is an empty page."""
-    p, raw = Page(url), text or ""
+def parse_page(text: str | None, url: str | None, fields: frozenset[str] = frozenset(FIELDS)) -> dict:
+    """One page as a row of ``SCHEMA``; null is an empty page.  What is not among the ``fields`` is not computed where it
+    costs much, and must not be relied on."""
+    p, raw = Page(url, "links" in fields, "images" in fields, bool(fields & {"body_text", "text_hash"})), text or ""
     p.feed(raw)
     p.close()
     p.flush()
     for kind, parts in reversed(p.catch):
         if kind in ("title", "a"):
             p.caught(kind, "".join(parts))
-    body = "".join(p.text).strip()
-    data = raw.encode("utf-8", "surrogatepass")
-    return p.row | {
-        "body_text": body,
-        "text_bytes": len(body.encode("utf-8", "surrogatepass")),
-        "html_bytes": len(data),
-        "closed_by": p.closed_by,
-        "ids": sorted(set(p.row["ids"])),
-        "text_minhash": minhash(" ".join(p.core)),
-        "html_hash": xxhash.xxh3_64_hexdigest(data),
-        "text_hash": xxhash.xxh3_64_hexdigest(body.encode("utf-8", "surrogatepass")),
-    }
-
-
-def parse(pages: DataFrame, url: str = "url", html: str = "html", rows: int = 64) -> DataFrame:
-    """``pages`` without the html column and with the columns of ``SCHEMA``; only what a caller selects is shipped on."""
+    row = p.row | {"closed_by": p.closed_by, "ids": sorted(set(p.row["ids"]))}
+    if fields & {"html_bytes", "html_hash", "content_ratio"}:
+        data = raw.encode("utf-8", "surrogatepass")
+        row |= {"html_bytes": len(data), "html_hash": xxhash.xxh3_64_hexdigest(data), "content_ratio": row["text_bytes"] / len(data) if data else 0.0}
+    if fields & {"body_text", "text_hash"}:
+        body = " ".join(p.text)
+        row |= {"body_text": body, "text_hash": xxhash.xxh3_64_hexdigest(body.encode("utf-8", "surrogatepass"))}
+    if "text_minhash" in fields:
+        row["text_minhash"] = minhash(decode_entities(" ".join(p.core)))
+    return row
+
+
+def parse(pages: DataFrame, url: str = "url", html: str = "html", rows: int = 64, fields: Iterable[str] | None = None) -> DataFrame:
+    """``pages`` without the html column and with the columns of ``SCHEMA``, or those named in ``fields``: the others are neither
+    shipped nor, where they cost much, computed."""
     keep = [c for c in pages.columns if c != html]
-    schema = T.StructType([*pages.select(*keep).schema.fields, *T._parse_datatype_string(SCHEMA).fields])
+    wanted = [f for f in T._parse_datatype_string(SCHEMA).fields if fields is None or f.name in set(fields)]
+    schema = T.StructType([*pages.select(*keep).schema.fields, *wanted])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(T._parse_datatype_string(SCHEMA))
+    arrow, names = to_arrow_schema(T.StructType(wanted)), frozenset(f.name for f in wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 part = b.slice(i, rows)
-                got = [parse_page(h, u) for h, u in zip(part.column(len(keep)).to_pylist(), part.column(keep.index(url)).to_pylist())]
+                got = [parse_page(h, u, names) for h, u in zip(part.column(len(keep)).to_pylist(), part.column(keep.index(url)).to_pylist())]
                 cols = [pa.array([g.get(f.name) for g in got], type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], schema.fieldNames())
 
     return pages.select(*keep, F.col(html).cast("string")).mapInArrow(run, schema)
+
+
+def fields_of(columns: Iterable[Column], more: str) -> set[str]:
+    """The fields of ``SCHEMA`` that expressions over parsed pages (with the columns ``more`` besides) refer to, as the analyzer
+    tells."""
+    spark = SparkSession.active()
+    empty = spark.createDataFrame([], f"{SCHEMA}, {more}")
+    used = empty.select(*columns)._jdf.queryExecution().analyzed().references().toList().mkString("\n")
+    return {x.partition("#")[0] for x in used.split("\n")} & set(FIELDS)
