@@ -40,14 +40,14 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import in_blocks, table
 from auditloom.operators.graph import connected_components
-from auditloom.plans.staging import stage
+from auditloom.plans.staging import Stages, release, stage
 
 N = 5
 #: Similarity as a fraction of whole numbers: 100 * shared >= 80 * union.
 PERCENT = 80
 #: Rounds in which groups are compared with one leader only; in the first round after them a key has about so many leaders.
 LEADERS = 3
-FIRST = 8
+FIRST, GROWTH = 64, 8
 #: Characters of text to a bucket of hashes: a bucket holds about a sixth as many shingles, ten bytes each.
 BUCKET_CHARS = 8 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -241,9 +241,10 @@ def _reaches(n: str, p: str, m: str, r: str, percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col(n) + F.col(m))
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members maps doc_id to its class (n, f1, f2 and c, the smallest id with that set); links
-    holds similar pairs of classes, enough of them to connect every component."""
+def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links, placed): rows maps doc_id to its class (n, f1, f2), classes has these and c, the smallest id with
+    that set; links holds similar pairs of classes, enough of them to connect every component; placed has the component q of
+    every class c that can have a link."""
     rows = sets(docs, percent)
     full = rows.where("n > 0")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("c"), F.max("m").alias("m"), F.min("lone").alias("lone"), F.first("tokens", ignorenulls=True).alias("tokens"))
@@ -259,6 +260,8 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     keys = stage(groups.select("g", "n", "lone", band.alias("band"), F.posexplode("prefix").alias("p", "h")).withColumn("p", F.col("p") + F.col("lone")).drop("lone"), "keys")
     links: DataFrame | None = None
     open_keys = keys.withColumn("q", F.lit(None).cast("long"))
+    st = Stages(docs.sparkSession)
+    placed = st.put(members.withColumn("q", F.col("c")), "placed")
     for turn in range(LEADERS):
         # one leader for each key and band: the smallest id first, then one drawn anew for every key
         drawn = F.col("g") if turn == 0 else F.xxhash64("g", "h", F.lit(turn))
@@ -271,17 +274,23 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
             pairs = pairs.unionByName(members.where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b")))
         new = stage(_linked(pairs.distinct(), classes, percent), "links")
         links = new if links is None else links.unionByName(new)
-        placed = _placed(members, links)
+        placed = _merged(placed, new, st)
         # a group's component, null if its members are in several
         of = placed.groupBy("g").agg(F.min("q").alias("_0"), F.max("q").alias("_1")).select("g", F.when(F.col("_0") == F.col("_1"), F.col("_0")).alias("q"))
-        open_keys = stage(_open(keys.join(of, "g")), "open")
-    return rows, classes, _by_rising_leaders(open_keys, members, placed, classes, links, percent)
+        last, open_keys = open_keys, st.put(_open(keys.join(of, "g")), "open")
+        st.drop(last)
+    return rows, classes, *_by_rising_leaders(open_keys, placed, classes, links, st, percent)
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(c, g, n, q): the classes with their components so far."""
-    comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("c"), "component")
-    return stage(members.join(comp, "c", "left").select("c", "g", "n", F.coalesce("component", "c").alias("q")), "placed")
+def _merged(placed: DataFrame, new: DataFrame, st: Stages) -> DataFrame:
+    """``placed`` after new links: only the links between components, as links of components, are followed."""
+    at = lambda x: placed.select(F.col("c").alias(x), F.col("q").alias(f"q{x}"))
+    e = new.join(at("a"), "a").join(at("b"), "b").where("qa != qb").select(F.col("qa").alias("src"), F.col("qb").alias("dst"))
+    comp = connected_components(e).select(F.col("id").alias("q"), "component")
+    out = st.put(placed.join(comp, "q", "left").select("c", "g", "n", F.coalesce("component", "q").alias("q")), "placed")
+    st.drop(placed)
+    release(placed.sparkSession)
+    return out
 
 
 def _open(keys: DataFrame) -> DataFrame:
@@ -290,49 +299,52 @@ def _open(keys: DataFrame) -> DataFrame:
     return keys.join(apart, "h", "left_semi")
 
 
-def _by_rising_leaders(open_keys: DataFrame, members: DataFrame, placed: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``links`` with whatever the open keys still hold.
+def _by_rising_leaders(open_keys: DataFrame, placed: DataFrame, classes: DataFrame, links: DataFrame, st: Stages, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` and ``placed`` with whatever the open keys still hold.
 
     Every class has a pseudorandom place u in [0, 1) on each of its shingles.  A round's leaders on a shingle with M classes are those
     with a place from ``lo / M`` up to ``hi / M``; classes with higher places are compared with them, so a pair meets
     once, when its lower one leads, unless a link between the two components was found before.  A round multiplies the
-    leaders by four, and the loop ends when every class of every open shingle has led."""
-    one = open_keys.select("g", "band", "h", "p").join(placed, "g")
+    leaders, and the loop ends when every class of every open shingle has led."""
+    one = open_keys.select("g", "band", "h", "p").join(placed.drop("n", "q"), "g").join(placed.select("c", "n"), "c").drop("g")
     one = one.withColumn("u", F.shiftrightunsigned(F.xxhash64("c", "h"), 11).cast("double") / F.lit(float(1 << 53)))
+    m = one.groupBy("h").agg(F.count("*").alias("m"))  # as many as there are at first, in every round
+    left = st.put(one.join(m, "h").withColumn("q", F.lit(None).cast("long")), "apart")
     lo, hi = 0, FIRST
     while True:
-        sized = one.join(one.groupBy("h").agg(F.count("*").alias("m")), "h").where(F.col("m") > lo)
-        one = stage(_open(sized).drop("m"), "apart")
-        m = one.groupBy("h").agg(F.count("*").alias("m"))
-        largest = m.agg(F.max("m")).first()[0]
-        if largest is None or largest <= lo:
-            return links
-        # sizes that fit each other are in one band or in neighbouring ones: the smaller set looks in its own and the next
-        at = one.join(m, "h")
-        lead = at.where((F.col("u") * F.col("m") >= lo) & (F.col("u") * F.col("m") < hi))
+        last, left = left, st.put(_open(left.drop("q").where(F.col("m") > lo).join(placed.select("c", "q"), "c")), "apart")
+        st.drop(last)
+        largest = left.agg(F.max("m")).first()[0]
+        if largest is None:
+            return links, placed
+        # sizes that fit each other are in one band or in neighbouring ones
+        lead = left.where((F.col("u") * F.col("m") >= lo) & (F.col("u") * F.col("m") < hi))
         lead = lead.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("c").alias("l"), F.col("n").alias("nl"), F.col("p").alias("pl"), F.col("q").alias("ql"), F.col("u").alias("ul"))
-        near = one.join(lead, ["h", "band"]).where((F.col("q") != F.col("ql")) & (F.struct("u", "c") > F.struct(F.col("ul"), F.col("l"))))
+        near = left.join(lead, ["h", "band"]).where((F.col("q") != F.col("ql")) & (F.struct("u", "c") > F.struct("ul", "l")))
         fits = (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")) & _reaches("n", "p", "nl", "pl", percent)
         pairs = near.where(fits).select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
         new = stage(_linked(pairs.distinct(), classes, percent), "links")
         links = links.unionByName(new)
+        if not new.isEmpty():
+            placed = _merged(placed, new, st)
         if largest <= hi:
-            return links
-        placed = _placed(members, links)
-        one = one.drop("q").join(placed.select("c", "q"), "c")
-        lo, hi = hi, hi * 4
+            return links, placed
+        lo, hi = hi, hi * GROWTH
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows, classes, links = join(docs, percent)
+    rows, classes, _, placed = join(docs, percent)
+    of = classes.select("n", "f1", "f2", "c").join(placed.select("c", "q"), "c", "left").select("n", "f1", "f2", F.coalesce("q", "c").alias("q"))
     # rows of one id may hold different sets: these sets are one document
     same = rows.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    of = classes.select("n", "f1", "f2", "c")
-    bound = rows.join(same, "doc_id").join(of, ["n", "f1", "f2"]).select(F.col("doc_id").alias("src"), F.col("c").alias("dst"))
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(bound)
-    comp = connected_components(edges).select(F.col("id").alias("c"), "component")
-    classes = of.join(comp, "c", "left").select("n", "f1", "f2", F.coalesce("component", "c").alias("component"))
+    bound = rows.join(same, "doc_id").join(of, ["n", "f1", "f2"])
+    several = bound.groupBy("doc_id").agg(F.min("q").alias("src"), F.max("q").alias("_1")).where("src != _1").drop("_1")
+    edges = stage(bound.join(several, "doc_id").select("src", F.col("q").alias("dst")), "bound")
+    if not edges.isEmpty():
+        comp = connected_components(edges).select(F.col("id").alias("q"), "component")
+        of = of.join(comp, "q", "left").select("n", "f1", "f2", F.coalesce("component", "q").alias("q"))
+    classes = of.withColumnRenamed("q", "component")
     out = rows.where("n > 0").join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none).unionByName(_without_id(docs))
