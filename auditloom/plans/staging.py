@@ -53,6 +53,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect plans that nothing refers to any more: with them go their shuffle files, which a long loop
+    otherwise keeps until the driver's memory is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stages:
     """Staged tables of one computation, so that a superseded one is dropped early."""
 
