@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Shares are weight by weight; a source stops at ``most`` times its size and the excess goes to the others by
     weight.  In closed form: with sources sorted by cap/weight, the first j are capped where the level the others
     would reach, (total - their caps) / (weight left), does not exceed the next cap/weight."""
-    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("skey").agg(F.sum("size").cast("long").alias("source_size"))
     rank = Window.orderBy(F.col("skey").isNull(), "skey")  # one row for each source
     w = F.element_at(F.lit(list(weights)), F.pmod(F.row_number().over(rank) - 1, F.lit(len(weights))) + 1)
     per = per.withColumn("w", w.cast("long")).withColumn("cap", most * F.col("source_size"))
@@ -157,7 +157,8 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` as ``keyed`` gives them.  Returned for each row: its columns, source_size, target, taken, and parts, the
-    stretches that are taken as (start, end, times) in words of the row."""
+    stretches that are taken as (start, end, times) in words of the row.  Texts are read once: their sizes are staged."""
+    docs = stage(docs, "sizes")
     goal = targets(docs)
     drawn = draws(goal, block).select(F.col("skey").alias("_s"), "idx", "times")
     own = _offsets(docs.where("size > 0").select("id", "doc_id", "skey", "size", "h"))
