@@ -2,11 +2,14 @@
 
 Only documents are labelled.  A sentence's probability is a logistic function of the words it holds; a document's
 is the noisy-or of its sentences', 1 - prod(1 - p).  The weights are trained through the noisy-or from document
-labels alone, and afterwards the sentence probabilities say where the offence is.
+labels alone, and afterwards the sentence probabilities say where the offence is.  No weight is below 0: a word can
+make a sentence offensive, and no number of harmless ones can take that back.  Both classes count alike in training,
+so a score is against even odds, whatever the classes' shares.
 
 Defined results: a null text is an empty one; an empty text, or one of blanks, has no sentence and the score
-0; repeated rows are scored alike; rows with a null label are not learned from; without labelled rows of both
-classes all scores are 0.
+0; a sentence of more than ``STRETCH`` words is read as several, in stretches of that many, so that a text without marks is
+not one sentence; words that fewer than four learned documents hold have no weight; repeated rows are scored
+alike; rows with a null label are not learned from; without labelled rows of both classes all scores are 0.
 """
 
 from __future__ import annotations
@@ -76,10 +79,11 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
 
 
 def fit(rows: list[tuple[str, int]], rates: dict[int, float] | None = None, rounds: int = 250, min_docs: int = 4, l2: float = 0.02) -> Model:
-    """Noisy-or likelihood, full-batch Adam.  ``rates``: the classes' true shares, where the rows were taken class by class."""
+    """Noisy-or likelihood, full-batch Adam, weights kept at 0 or above.  ``rates``: what each class counts for, the rows'
+    own shares if not given."""
     n = Counter(y for _, y in rows)
     if len(n) < 2:
-        return Model({}, -20.0)
+        return Model({}, -100.0)
     df: Counter[str] = Counter()
     docs = []
     for text, y in rows:
@@ -112,7 +116,7 @@ def fit(rows: list[tuple[str, int]], rates: dict[int, float] | None = None, roun
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix = math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-        w -= 0.25 * fix * m / (np.sqrt(v) + 1e-6)
+        w = np.maximum(w - 0.25 * fix * m / (np.sqrt(v) + 1e-6), 0.0)
         b -= 0.25 * fix * mb / (math.sqrt(vb) + 1e-6)
     return Model({k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 1e-3}, float(b))
 
@@ -121,17 +125,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 3, residue: int =
     """Fit on at most ``per_class`` labelled rows of each class, none longer than ``max_chars``: the documented bound
     of what reaches the driver.  The smallest hashes of the id are taken; the held-out residue never is."""
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col("doc_id"), held_out) != residue))
-    count = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(count) < 2:
-        return Model({}, -20.0)
+    if lab.select("y").distinct().count() < 2:
+        return Model({}, -100.0)
     ids = None
     for y in (0, 1):
         one = lab.where(F.col("y") == y).groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(per_class)
         ids = one if ids is None else ids.unionByName(one)
     text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("t")).where(F.length("t").between(1, max_chars))
     got = text.join(F.broadcast(ids), "_id").select("_id", "t", "y").orderBy(F.xxhash64("_id", F.lit(3)), "_id", "t").limit(2 * per_class).collect()
-    total = sum(count.values())
-    return fit([(r["t"], r["y"]) for r in got], {k: v / total for k, v in count.items()})
+    return fit([(r["t"], r["y"]) for r in got], {0: 0.5, 1: 0.5})
 
 
 def judge(text: str | None, weights: Weights, worst: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
