@@ -45,10 +45,10 @@ def test_join_planes():
 
 
 def test_mixing(spark, docs):
-    out = mixing.mix(mixing._keyed(docs).drop("_h"), block=8).collect()
+    out = mixing.mix(mixing.keyed(docs), block=8).collect()
     assert len(out) == docs.count()
     assert all(r["taken"] <= 3 * r["size"] for r in out)
-    assert mixing.mix(mixing._keyed(docs.where("false")).drop("_h")).count() == 0
+    assert mixing.mix(mixing.keyed(docs.where("false"))).count() == 0
     mixed = mixing.mix_documents(docs, block=8)
     assert mixed.columns == docs.columns
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in out)
@@ -98,7 +98,7 @@ def test_fingerprints(spark, docs):
 
     got = prints.with_next(docs).collect()
     assert len(got) == docs.count()
-    order = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    order = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))  # one null id, so its text's hash orders nothing
     for a, b in zip(order, [*order[1:], order[0]]):
         assert a["next_text"] == b["text"] and a["next_fp"] == b["fp"]
     x = docs.where("doc_id = 0").select(prints.fingerprint(F.col("text")).alias("a"), prints.fingerprint(F.lit("w1 w2 w3 w4 w5 w6")).alias("b"))
@@ -109,7 +109,7 @@ def test_fingerprints(spark, docs):
 def test_line_dedup(spark):
     block = "\n".join(" ".join(f"b{k}{i}" for i in range(30)) for k in range(2))
     rows = [(2, f"own two\n{block}\nend"), (1, f"start\n\n{block}"), (3, "start\nown three"), (4, None), (5, "")]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: f"start\n\n{block}", 2: "own two\nend", 3: "start\nown three", 4: None, 5: ""}
 
 
