@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as X
 from auditloom.functions import urls as U
 from auditloom.functions.constants import DEFAULT_WIDTH, WIDTHS
-from auditloom.operators import catalog, depth, diff, page_rules, reports, site_rules
+from auditloom.operators import catalog, depth, diff, merge, page_rules, probes, reports, site_rules
 from auditloom.operators.near import near_duplicates
 from auditloom.plans import derived, fixtures
 from auditloom.plans.model import Crawl
@@ -316,3 +317,91 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     i = site_rules.evaluate(derived.crawl(spark, sf_dir), _RULES).withColumn("site", U.host(F.col("url")))
     return diff.severity_by_site(i).select("site", "critical", "high")
+
+
+@query("persisted_pairs", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT count(*) AS n FROM (SELECT DISTINCT * FROM i) x JOIN (SELECT DISTINCT * FROM i2) y ON y.rule_id = x.rule_id AND y.url = x.url AND (y.group_key = x.group_key OR y.group_key = '' OR x.group_key = '')")
+def _(spark, sf_dir):
+    a, b = (site_rules.evaluate(derived.crawl(spark, sf_dir, x), _RULES) for x in (False, True))
+    return diff.persisted_pairs(a, b)
+
+
+_NEW = f"(SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site, * FROM i2 x WHERE {_MISS.format(o='i')})"
+
+
+@query("portfolio_changes", f"WITH {derived.FX}, {derived.AFTER} {_BOTH} SELECT rule_id, severity, count(DISTINCT site) AS sites, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT url)), 1, 3), ' ') AS examples FROM {_NEW} GROUP BY ALL")
+def _(spark, sf_dir):
+    new = both(spark, sf_dir).new.withColumn("site", U.host(F.col("url")))
+    return diff.ranked_changes(new).withColumn("examples", F.array_join("examples", " "))
+
+
+# -- late information, foreign URLs, search --------------------------------------------------------------------------
+_STATE = "url, {n} AS seq, crawl_state, status_code, is_internal, in_sitemap, exclusion_reason"
+
+
+@query("merge_urls", f"WITH {derived.FX}, {derived.AFTER} SELECT url, coalesce(b.seq, a.seq) AS seq, coalesce(b.crawl_state, a.crawl_state) AS crawl_state, coalesce(b.status_code, a.status_code) AS status_code, a.is_internal, a.in_sitemap OR coalesce(b.in_sitemap, FALSE) AS in_sitemap, CASE WHEN b.url IS NULL THEN a.exclusion_reason END AS exclusion_reason FROM (SELECT {_STATE.format(n=1)} FROM cu) a LEFT JOIN (SELECT url, 2 AS seq, 'error' AS crawl_state, CASE WHEN status_code = 200 THEN NULL ELSE 410 END AS status_code, length(url) % 3 = 0 AS in_sitemap FROM cu2 WHERE length(url) % 2 = 0) b USING (url)")
+def _(spark, sf_dir):
+    old = derived.table(spark, sf_dir, "cu").selectExpr("url", "1 AS seq", "crawl_state", "status_code", "is_internal", "in_sitemap", "exclusion_reason")
+    new = derived.table(spark, sf_dir, "cu2").where("length(url) % 2 = 0")
+    new = new.selectExpr("url", "2 AS seq", "'error' AS crawl_state", "CASE WHEN status_code = 200 THEN NULL ELSE 410 END AS status_code", "is_internal", "length(url) % 3 = 0 AS in_sitemap", "CAST(NULL AS STRING) AS exclusion_reason")
+    return merge.merge_urls(old, new)
+
+
+@query("known_links", f"WITH {derived.FX}, {derived.AFTER} SELECT from_url, to_url, element, position FROM cl WHERE from_url IN (SELECT url FROM cu2) AND to_url IN (SELECT url FROM cu2)")
+def _(spark, sf_dir):
+    return merge.known_links(derived.table(spark, sf_dir, "cl"), derived.table(spark, sf_dir, "cu2")).select("from_url", "to_url", "element", "position")
+
+
+@query("resume_pending", f"WITH {derived.FX}, {derived.AFTER} SELECT DISTINCT to_url AS url FROM cl WHERE to_url NOT IN (SELECT url FROM cu2 WHERE crawl_state IN ('done', 'excluded', 'error'))")
+def _(spark, sf_dir):
+    return merge.to_resume(derived.table(spark, sf_dir, "cu2"), derived.table(spark, sf_dir, "cl").selectExpr("to_url AS url"))
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+
+
+@query("external_probes", f"""SELECT url, host, seq, CASE WHEN r > 2 THEN 'host_budget' WHEN row_number() OVER (PARTITION BY r > 2 ORDER BY seq, url) > 40 THEN 'total_budget' END AS reason
+FROM (SELECT url, lower({_HOST}) AS host, seq, row_number() OVER (PARTITION BY lower({_HOST}) ORDER BY seq, url) AS r FROM (SELECT regexp_replace(url, '#.*$', '') AS url, min((page_id * 7919) % 1009) AS seq FROM pages GROUP BY 1))""")
+def _(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("regexp_replace(url, '#.*$', '') AS url", "(page_id * 7919) % 1009 AS seq")
+    return probes.to_probe(found, per_host=2, total=40)
+
+
+_ANSWERS = "page_id % 11 AS host, page_id AS seq, CASE WHEN page_id % 5 < 2 AND page_id % 11 < 6 THEN NULL WHEN page_id % 97 = 60 THEN 429 ELSE 200 END AS status_code, CASE WHEN page_id % 5 < 2 AND page_id % 11 < 6 THEN 'timeout' END AS error_kind"
+
+
+@query("circuit_breaker", f"""WITH RECURSIVE a AS (SELECT {_ANSWERS} FROM pages), b AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS r FROM a),
+w AS (SELECT host, r, seq, CAST(NULL AS VARCHAR) AS skipped, CASE WHEN error_kind IS NULL THEN 0 ELSE 1 END AS f, CASE WHEN status_code IN (429, 503) THEN 'rate_limited' END AS shut FROM b WHERE r = 1
+UNION ALL SELECT b.host, b.r, b.seq, w.shut, CASE WHEN b.error_kind IS NULL THEN 0 ELSE w.f + 1 END, coalesce(w.shut, CASE WHEN b.status_code IN (429, 503) THEN 'rate_limited' WHEN b.error_kind IS NOT NULL AND w.f >= 2 THEN 'host_unreachable' END) FROM w JOIN b ON b.host = w.host AND b.r = w.r + 1)
+SELECT host, seq, skipped FROM w""")
+def _(spark, sf_dir):
+    answers = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*[x.strip() for x in re.split(r",(?![^(]*\))", _ANSWERS)])
+    return probes.breaker(answers).select("host", "seq", "skipped")
+
+
+_SEEDS = "page_id % 50 IN (1, 3)"
+
+
+@query("internal_links_many_sites", f"WITH {derived.FX}, s AS (SELECT DISTINCT lower({_HOST}) AS a FROM pages WHERE {_SEEDS}) SELECT from_url, to_url, position, f = t AND t IN (SELECT a FROM s) AS internal FROM (SELECT from_url, to_url, position, lower({_HOST.replace('url', 'from_url')}) AS f, lower({_HOST.replace('url', 'to_url')}) AS t FROM cl)")
+def _(spark, sf_dir):
+    seeds = spark.read.parquet(f"{sf_dir}/pages.parquet").where(_SEEDS).select("url")
+    return U.internal_links(derived.table(spark, sf_dir, "cl").select("from_url", "to_url", "position"), seeds)
+
+
+@query("search_site", fixtures.with_site("SELECT url, CAST(q AS INT) AS q FROM (SELECT url, CASE WHEN regexp_matches(title, '(^| )Short( |$)') THEN 1 END AS a, CASE WHEN contains(description, 'in common') THEN 2 END AS b, CASE WHEN contains(body, '<h1>') AND regexp_matches(body, '>Two<') THEN 3 END AS c, CASE WHEN contains(body, 'Plain words') THEN 4 END AS d FROM fxs) CROSS JOIN unnest([a, b, c, d]) AS u(q) WHERE q IS NOT NULL"))
+def _(spark, sf_dir):
+    """Four searches over title, description, headings and text: by field, by several terms, and without accents."""
+    p = fixtures.crawl(spark, sf_dir, {"title", "meta_description", "headings", "body_text"}).pages
+    p = p.withColumn("heading", F.array_join(F.transform("headings", lambda h: h["text"]), " "))
+    idx = stage(reports.index(p, "url", "title", "meta_description", "heading", "body_text"), "index")
+    out = None
+    for i, q in enumerate(("title:short", "meta_description:in meta_description:common", "heading:two", "body_text:PLÁIN"), 1):
+        hit = reports.search(idx, "url", q).withColumn("q", F.lit(i))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query("html_links_sql", """SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+"')) FROM pages) GROUP BY page_id""")
+def _(spark, sf_dir):
+    html.register_html_links(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spark.sql("SELECT p.page_id, count(*) AS links FROM {pages} p, LATERAL html_links(p.html, p.url) l WHERE l.element = 'a' GROUP BY p.page_id", pages=pages)

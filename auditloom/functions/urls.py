@@ -8,7 +8,7 @@ from urllib.parse import parse_qsl, quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,28 @@ def is_public_address(host: str) -> bool:
     return ip.is_global and not ip.is_multicast
 
 
+def resolve_light(href: str, page: str) -> str:
+    """An alternate's address against its page's, without any normalization: by scheme, ``//``, ``/``, ``?``, ``#`` or relative
+    with its dot segments."""
+    h = href.strip()
+    scheme, _, rest = page.partition("://")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", h):
+        return h
+    if h.startswith("//"):
+        return f"{scheme}:{h}"
+    site, slash, path = rest.partition("/")
+    path = (slash + path).partition("#")[0]
+    if not h or h.startswith("#"):
+        return f"{scheme}://{site}{path}"
+    path = path.partition("?")[0]
+    if h.startswith("?"):
+        return f"{scheme}://{site}{path}{h}"
+    at, mark, query = h.partition("?")
+    if not h.startswith("/"):
+        at = path.rpartition("/")[0] + "/" + at
+    return f"{scheme}://{site}{_dots(at)}{mark}{query}"
+
+
 @F.pandas_udf(T.StringType())
 def normalize_udf(urls: pd.Series) -> pd.Series:
     return urls.map(normalize)
@@ -135,6 +157,23 @@ def is_internal(url: Column, base: Column) -> Column:
     return authority(url) == authority(base)
 
 
+def in_scope(urls: DataFrame, seeds: DataFrame, col: str = "url") -> DataFrame:
+    """``urls`` with ``in_scope``: whether the authority is that of a seed (url).  Seeds of a list name as many sites as they
+    like, so they are joined; a seed's site is there once."""
+    sites = seeds.select(authority(F.col("url")).alias("_site")).where("_site != ''").distinct().withColumn("_in", F.lit(True))
+    j = urls.join(sites, authority(F.col(col)) == F.col("_site"), "left")
+    return j.select(*urls.columns, F.coalesce("_in", F.lit(False)).alias("in_scope"))
+
+
+def internal_links(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``links`` (from_url, to_url) with ``internal``: with one site, whether the target is in it; with several, whether it is in
+    the page's own and that is one of them."""
+    one = seeds.select(authority(F.col("url")).alias("a")).distinct().limit(2).count() <= 1
+    j = in_scope(links, seeds, "to_url")
+    same = F.lit(True) if one else authority(F.col("from_url")) == authority(F.col("to_url"))
+    return j.select(*links.columns, (F.col("in_scope") & same).alias("internal"))
+
+
 def is_crawlable(url: Column) -> Column:
     return scheme(url).isin("http", "https")
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
-from auditloom.functions.constants import SAMPLE
 from auditloom.operators.catalog import apply_overrides
 from auditloom.plans.model import Crawl, config_differences
 
@@ -27,7 +26,7 @@ def url_changes(a: Crawl, b: Crawl) -> DataFrame:
     removals if the later one is incomplete."""
     have = lambda x: x.urls.where("is_internal AND crawl_state = 'done'").select("url")
     added, removed = have(b).join(have(a), "url", "left_anti"), have(a).join(have(b), "url", "left_anti")
-    return _rows(added, "url_added").where(F.lit(not a.truncated)).unionByName(_rows(removed, "url_removed").where(F.lit(not b.truncated)))
+    return _rows(added, "url_added").where(F.lit(not incomplete(a))).unionByName(_rows(removed, "url_removed").where(F.lit(not incomplete(b))))
 
 
 def status_changes(a: Crawl, b: Crawl) -> DataFrame:
@@ -66,6 +65,20 @@ def issue_changes(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return new, resolved, kept
 
 
+def persisted_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, ``n``: how many pairs of an earlier and a later finding agree in rule, url and group, where an empty group
+    agrees with every group.  Counted by group and multiplied; no pair is made."""
+    def per(df: DataFrame, n: str) -> DataFrame:
+        k = df.select("rule_id", "severity", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("group_key", F.lit("")).alias("group_key")).distinct()
+        return k.groupBy("rule_id", "url", "group_key").agg(F.count("*").alias(n))
+
+    x, y = per(a, "x"), per(b, "y")
+    same = x.where("group_key != ''").join(y, ["rule_id", "url", "group_key"]).select((F.col("x") * F.col("y")).alias("n"))
+    sums = lambda df, n: df.groupBy("rule_id", "url").agg(F.sum(n).alias(n), F.sum(F.when(F.col("group_key") == "", F.col(n)).otherwise(0)).alias(f"{n}0"))
+    wild = sums(x, "x").join(sums(y, "y"), ["rule_id", "url"]).select((F.col("x0") * F.col("y") + F.col("x") * F.col("y0") - F.col("x0") * F.col("y0")).alias("n"))
+    return same.unionByName(wild).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def site_file_changes(a: Crawl, b: Crawl) -> DataFrame | None:
     out = None
     if a.robots is not None and b.robots is not None:
@@ -93,25 +106,71 @@ class Diff:
 
     def write(self, folder: str) -> None:
         self.changes.write.mode("overwrite").partitionBy("change").parquet(f"{folder}/changes")
-        self.changes.sparkSession.createDataFrame([(w,) for w in self.warnings], "warning string").write.mode("overwrite").parquet(f"{folder}/diff_meta")
+        self.changes.sparkSession.createDataFrame(list(enumerate(self.warnings)), "n int, warning string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/diff_meta")
+
+
+def _site(x: Crawl) -> str:
+    return x.base_url.split("://")[-1].split("/")[0].lower()
 
 
 def compare(a: Crawl, b: Crawl) -> Diff:
     """``a`` is the earlier crawl.  Both are read with the later one's rule overrides."""
-    if a.base_url.split("://")[-1].rstrip("/") != b.base_url.split("://")[-1].rstrip("/"):
+    if _site(a) != _site(b):
         raise ValueError(f"crawls of different sites: {a.base_url} and {b.base_url}")
     over = b.config.get("rules", {})
     ia, ib = (apply_overrides(x, over) if over else x for x in (a.issues, b.issues))
     new, resolved, kept = issue_changes(ia, ib)
-    new, resolved = new.where(F.lit(not a.truncated)), resolved.where(F.lit(not b.truncated))
+    new, resolved = new.where(F.lit(not incomplete(a))), resolved.where(F.lit(not incomplete(b)))
     back = lambda df: df.withColumn("url", F.nullif(c("url"), F.lit("")))
     parts = [url_changes(a, b), status_changes(a, b), page_changes(a, b), _rows(back(new), "issue_added", after=c("severity"), rule=c("rule_id")), _rows(back(resolved), "issue_resolved", before=c("severity"), rule=c("rule_id")), site_file_changes(a, b)]
     out = parts[0]
     for p in parts[1:]:
         out = out if p is None else out.unionByName(p)
-    warnings = [w for w, on in (("before_truncated", a.truncated), ("after_truncated", b.truncated), ("mode_changed", a.mode != b.mode), ("rules_changed", a.config.get("rules", {}) != over), ("scheme_changed", a.base_url.split("://")[0] != b.base_url.split("://")[0])) if on]
-    warnings += [f"config_changed:{p}" for p in config_differences(a.config, b.config)]
-    return Diff(out, new, resolved, kept, tuple(warnings), a.truncated)
+    return Diff(out, new, resolved, kept, warnings_of(a, b), incomplete(a))
+
+
+def incomplete(x: Crawl) -> bool:
+    return x.truncated or x.run.get("status", "done") != "done"
+
+
+def warnings_of(a: Crawl, b: Crawl) -> tuple[str, ...]:
+    """What makes a comparison doubtful: ``kind:detail``."""
+    out = []
+    for side, x in (("before", a), ("after", b)):
+        if x.truncated:
+            out.append(f"truncated:{side}")
+        elif incomplete(x):
+            out.append(f"unfinished:{side}:{x.run['status']}")
+    began = [x.run.get("started_at") or "" for x in (a, b)]
+    if all(began) and began[1] < began[0]:
+        out.append(f"order_inverted:{began[0]}:{began[1]}")
+    versions = [x.run.get("rules_version") for x in (a, b)]
+    if versions[0] != versions[1]:
+        out.append(f"rules_version_changed:{versions[0]}:{versions[1]}")
+    if a.mode != b.mode:
+        out.append(f"mode_changed:{a.mode}:{b.mode}")
+    if a.base_url != b.base_url:
+        out.append(f"scope_changed:{a.base_url}:{b.base_url}")
+    if fields := config_differences(a.config, b.config):
+        out.append(f"config_changed:{','.join(fields)}")
+    out += [f"missing_table:{side}:{t}" for t in ("robots", "sitemaps") for side, x in (("before", a), ("after", b)) if getattr(x, t) is None]
+    rules = [x.config.get("rules", {}) for x in (a, b)]
+    if rules[1] or rules[0] != rules[1]:
+        o = {"disable": [], "severity": {}} | rules[1]
+        out.append(f"rules_config:{len(o['disable'])} disabled:{len(o['severity'])} changed" + (":sides_differ" if rules[0] != rules[1] else ""))
+    return tuple(out)
+
+
+def read(spark: SparkSession, folder: str, changes: list[str] | None = None, rules: list[str] | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """(changes, warnings) of a comparison that ``write`` saved, of some kinds of change or some rules only."""
+    df = spark.read.schema("change string, url string, before string, after string, rule_id string").parquet(f"{folder}/changes")
+    if bad := sorted(set(changes or ()) - set(CHANGES)):
+        raise ValueError(f"unknown changes: {bad}")
+    if changes:
+        df = df.where(c("change").isin(changes))
+    if rules:
+        df = df.where(c("rule_id").isin([r.upper() for r in rules]))
+    return df, tuple(r["warning"] for r in spark.read.parquet(f"{folder}/diff_meta").orderBy("n").collect())
 
 
 def gate(diff: Diff, fail_on: list[str]) -> DataFrame:
@@ -140,10 +199,15 @@ def rule_spread(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule_id").agg(F.min(F.struct(X.severity_rank(c("severity")).alias("r"), "severity")).alias("_s"), F.countDistinct("site").alias("sites"), F.count("*").alias("findings")).select("rule_id", c("_s.severity").alias("severity"), "sites", "findings")
 
 
-def ranked_changes(new: DataFrame, examples: int = 3) -> DataFrame:
-    """New findings (site, rule_id, severity, url) by rule, heaviest first, with a few examples."""
-    n = new.groupBy("rule_id", "severity").agg(F.countDistinct("site").alias("sites"), F.count("*").alias("n"), F.min("url").alias("example"))
-    return n.orderBy(X.severity_rank(c("severity")), F.desc("sites"), F.desc("n"), "rule_id").limit(SAMPLE * 10)
+def ranked_changes(new: DataFrame, examples: int = 3, most: int | None = None) -> DataFrame:
+    """New findings (site, rule_id, severity, url) by rule, heaviest first, each with its first few URLs; ``most`` rules if given.
+    Examples are ranked before they are gathered, so a rule's URLs never meet in one row."""
+    n = new.groupBy("rule_id", "severity").agg(F.countDistinct("site").alias("sites"), F.count("*").alias("n"))
+    w = Window.partitionBy("rule_id", "severity").orderBy("url")
+    ex = new.where("url IS NOT NULL").select("rule_id", "severity", "url").distinct().withColumn("_r", F.row_number().over(w)).where(c("_r") <= examples)
+    ex = ex.groupBy("rule_id", "severity").agg(F.array_sort(F.collect_list("url")).alias("examples"))
+    out = n.join(ex, ["rule_id", "severity"], "left").orderBy(X.severity_rank(c("severity")), F.desc("sites"), F.desc("n"), "rule_id")
+    return out if most is None else out.limit(most)
 
 
 def portfolio_warnings(meta: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html import escape
 from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +101,35 @@ def audit_report(crawl: Crawl, issues: DataFrame, title: str = "Site audit") ->
     return "\n".join(lines) + "\n"
 
 
+def number(n: int | float, thousands: str = ",", point: str = ".") -> str:
+    """A number as people read it."""
+    whole, _, rest = f"{n:,}".partition(".")
+    return whole.replace(",", thousands) + (point + rest if rest else "")
+
+
+def plural(n: int, one: str, many: str | None = None) -> str:
+    return f"{number(n)} {one if n == 1 else many or one + 's'}"
+
+
+def clipped(text: str | None, most: int = 255) -> str:
+    """Foreign text made safe for a terminal or a report: no control characters, not longer than ``most``."""
+    plain = "".join(ch for ch in text or "" if unicodedata.category(ch) not in ("Cc", "Cf"))
+    return plain if len(plain) <= most else plain[: most - 1] + "…"
+
+
+def html_report(crawl: Crawl, issues: DataFrame, title: str = "Site audit") -> str:
+    """The same report as a page of its own; a row for each rule at most reaches the driver."""
+    e = lambda x: escape(clipped(str(x)))
+    total = crawl.pages.count()
+    classes = "".join(f"<tr><td>{e(r['class'])}</td><td>{number(r['internal'])}</td><td>{number(r['external'])}</td></tr>" for r in status_breakdown(crawl).orderBy("class").collect())
+    rules = "".join(f"<tr><td>{e(r['rule_id'])}</td><td>{e(r['severity'])}</td><td>{number(r['findings'])}</td><td>{'<br>'.join(e(u) for u in r['examples'] or [])}</td></tr>" for r in rule_groups(issues).collect())
+    note = " <em>truncated</em>" if crawl.truncated else ""
+    return (
+        f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1><p>{e(crawl.base_url)}: {plural(total, "page")}{note}</p>'
+        f"<table><tr><th>class</th><th>internal</th><th>external</th></tr>{classes}</table><table><tr><th>rule</th><th>severity</th><th>findings</th><th>examples</th></tr>{rules}</table></body></html>\n"
+    )
+
+
 # -- datasets and sinks ---------------------------------------------------------------------------------------------
 def datasets(crawl: Crawl) -> dict[str, DataFrame]:
     """The tabular datasets by name."""

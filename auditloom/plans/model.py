@@ -38,6 +38,8 @@ class Crawl:
     discover_sitemaps: bool = True
     config: dict = field(default_factory=dict)
     issues: DataFrame | None = None
+    #: started_at, status and rules_version of the run, where they are known.
+    run: dict = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:

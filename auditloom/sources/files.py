@@ -7,6 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from io import BytesIO
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import urls as U
 from auditloom.functions.html_text import plain_location
 from auditloom.functions.urls import normalize
+from auditloom.plans.staging import stage
 
 SITEMAP_BYTES = 64 << 20
 CRAWL_DELAY_MAX = 30.0
@@ -45,7 +47,8 @@ def resolve_files(urls: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """One URL a line; blank lines and comments apart, normalized, each once."""
+    """One URL a line; blank lines and comments apart, normalized, each once.  A crawl of a list follows no links: build it
+    with ``mode="list"`` and ``truncated=True``, for its link graph is never whole."""
     lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url != '' AND NOT startswith(url, '#')")
     return lines.select(U.normalize_udf("url").alias("url")).where("url IS NOT NULL").distinct()
 
@@ -155,5 +158,31 @@ def parse_sitemaps(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "url string, status_code int, is_index boolean, is_valid boolean, well_known boolean, parse_error string, url_count long, bytes long, discovered_from string, locations array<string>")
 
 
+WELL_KNOWN = ("/sitemap.xml", "/sitemap_index.xml")
+MOST_SITEMAPS = 5000
+
+
+def discover_sitemaps(spark: SparkSession, base_url: str, announced: list[str], answers: DataFrame, most: int = MOST_SITEMAPS) -> DataFrame:
+    """Sitemap rows, from those that robots.txt announces and the well-known places through all indexes, each once, of the
+    site's own only, ``most`` documents at most.  ``answers`` (url, status_code, content) is what fetching would bring.
+
+    A level of indexes is one join and one parse; the list of names, bounded by ``most``, is the driver's."""
+    site = urlsplit(base_url).netloc.lower()
+    own = lambda u: urlsplit(u).netloc.lower() == site
+    known = [normalize(p, base_url) for p in WELL_KNOWN]
+    todo = list(dict.fromkeys(u for u in [*(normalize(a, base_url) for a in announced), *known] if u and own(u)))
+    seen, origin, out = set(), {u: ("well_known" if u in known and u not in announced else "robots") for u in todo}, None
+    while todo and len(seen) < most:
+        todo = todo[: most - len(seen)]
+        seen |= set(todo)
+        asked = spark.createDataFrame([(u, u in known and origin[u] == "well_known", origin[u]) for u in todo], "url string, well_known boolean, discovered_from string")
+        rows = stage(parse_sitemaps(asked.join(answers, "url", "left").select("url", "status_code", "content", "well_known", "discovered_from")), "sitemaps")
+        out = rows if out is None else out.unionByName(rows)
+        found = rows.where("is_index").select("url", F.explode("locations").alias("child")).groupBy("child").agg(F.min("url").alias("parent")).orderBy("child").limit(most).collect()
+        todo = [r["child"] for r in found if own(r["child"]) and r["child"] not in seen]
+        origin |= {r["child"]: r["parent"] for r in found}
+    return out if out is not None else parse_sitemaps(answers.limit(0).selectExpr("url", "status_code", "content", "false AS well_known", "'' AS discovered_from"))
+
+
 def in_sitemaps(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.where("NOT is_index").select(F.explode("locations").alias("url")).distinct()

@@ -400,3 +400,16 @@ def fields_of(columns: Iterable[Column], more: str) -> set[str]:
     empty = spark.createDataFrame([], f"{SCHEMA}, {more}")
     used = empty.select(*columns)._jdf.queryExecution().analyzed().references().toList().mkString("\n")
     return {x.partition("#")[0] for x in used.split("\n")} & set(FIELDS)
+
+
+class HtmlLinks:
+    """``html_links(html, base)`` as a table function in SQL: a row for each link of a page."""
+
+    def eval(self, text: str | None, base: str | None) -> Iterator[tuple]:
+        for x in parse_page(text, base, frozenset({"links"}))["links"]:
+            yield x["element"], x["href"], x["url"], x["text"], x["nofollow"], x["region"]
+
+
+def register_html_links(spark: SparkSession) -> None:
+    kind = "element string, href string, url string, text string, nofollow boolean, region string"
+    spark.udtf.register("html_links", F.udtf(HtmlLinks, returnType=kind))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from auditloom.operators import page_rules
+from auditloom.operators.merge import merge_urls
 from auditloom.plans.model import indexability
 from auditloom.functions import text as X
 from auditloom.sources import html
@@ -35,13 +37,58 @@ def discovered(fetches: DataFrame) -> DataFrame:
     return p.select(F.explode("links.url").alias("url")).where("url IS NOT NULL").dropDuplicates(["url"])
 
 
-def merge_urls(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Late information: of two states of a URL (seq orders them) a column's last known value, but ``in_sitemap`` once true
-    stays so, and state and scope are the newest."""
-    both = old.unionByName(new)
-    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in both.columns if c not in ("url", "seq", "in_sitemap")]
-    extra = [F.bool_or("in_sitemap").alias("in_sitemap")] if "in_sitemap" in both.columns else []
-    return both.groupBy("url").agg(F.max("seq").alias("seq"), *extra, *last).select(*both.columns)
+def upsert(fetches: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Late information of a stream of URL states (with ``seq``) merged into a table, micro-batch by micro-batch: every batch
+    writes a new version beside the old one, and the number of the last whole version is its folder's name."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        old = latest(spark, folder)
+        both = merge_urls(batch.limit(0) if old is None else old, batch)
+        both.write.mode("overwrite").parquet(f"{folder}/v={n}")
+
+    w = fetches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")).start()
+
+
+def latest(spark, folder: str) -> DataFrame | None:
+    """The newest whole version that ``upsert`` has written."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    whole = [int(x[2:]) for x in names if x.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
+    return spark.read.parquet(f"{folder}/v={max(whole)}") if whole else None
+
+
+class Progress(StreamingQueryListener):
+    """Samples of a running query: (batch, rows, rows a second), the last ``keep`` of them."""
+
+    def __init__(self, keep: int = 100):
+        self.samples: deque[tuple[int, int, float]] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.samples.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def stop_reason(urls: int, seconds: float, depth: int, max_urls: int | None = None, max_seconds: float | None = None, max_depth: int | None = None, pending_429: bool = False) -> str | None:
+    """Why a crawl that has come so far is cut off, or None."""
+    if max_urls is not None and urls >= max_urls:
+        return "max_urls"
+    if max_seconds is not None and seconds >= max_seconds:
+        return "max_duration"
+    if max_depth is not None and depth > max_depth:
+        return "max_depth"
+    return "rate_limited" if pending_429 else None
 
 
 def next_to_fetch(frontier: DataFrame, capacity: DataFrame) -> DataFrame:
@@ -51,9 +98,10 @@ def next_to_fetch(frontier: DataFrame, capacity: DataFrame) -> DataFrame:
     return frontier.join(capacity, "host").withColumn("_r", F.row_number().over(w)).where("_r <= slots").drop("_r", "slots")
 
 
-def throttle(results: DataFrame, ceiling: int = 8) -> DataFrame:
+def throttle(results: DataFrame, ceiling: int = 8, delays: dict[str, float] | None = None) -> DataFrame:
     """Replay of each host's answers (host, seq, status_code, error_kind, retry_after) in order: three overloads halve the
-    slots, twenty good answers in a row add one, a Retry-After pauses.  Adds slots and pause_s after each answer.
+    slots, twenty good answers in a row add one, a Retry-After pauses.  Adds slots and pause_s after each answer.  Hosts with
+    a crawl delay (``delays``, in seconds) are asked one at a time, with that pause at least.
 
     The machine's state is three numbers, so a host's answers pass in batches and are never held together."""
     start = ceiling
@@ -66,7 +114,8 @@ def throttle(results: DataFrame, ceiling: int = 8) -> DataFrame:
         for b in batches:
             parts = []
             for host, df in b.groupby("host", sort=False):
-                slots, bad, good = state.get(host, (start, 0, 0))
+                delay = (delays or {}).get(host, 0.0)
+                slots, bad, good = state.get(host, (1 if delay else start, 0, 0))
                 rows = []
                 for r in df.itertuples(index=False):
                     code = None if pd.isna(r.status_code) else int(r.status_code)
@@ -75,8 +124,8 @@ def throttle(results: DataFrame, ceiling: int = 8) -> DataFrame:
                     if bad == 3:
                         slots, bad = max(1, slots // 2), 0
                     if good == 20:
-                        slots, good = min(ceiling, slots + 1), 0
-                    rows.append((slots, float(r.retry_after) if overload and not pd.isna(r.retry_after) else 0.0))
+                        slots, good = min(1 if delay else ceiling, slots + 1), 0
+                    rows.append((slots, max(delay, float(r.retry_after) if overload and not pd.isna(r.retry_after) else 0.0)))
                 state = {host: (slots, bad, good)}  # hosts come one after the other
                 parts.append(df.assign(slots=[a for a, _ in rows], pause_s=[p for _, p in rows]))
             if parts:
