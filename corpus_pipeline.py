@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each reading what the one before wrote."""
+"""The corpus pipeline: five stages over ``documents``, each reading what the one before wrote.
+
+Defined results: a null or blank text is scored by the classifier like an empty one, loses no lines, is no copy of anything and
+gives no words to the mix, so it has no row in the result; a null id is kept by every stage, is linked to nothing and stays
+null; a null source is a source of its own; repeated rows of one id are one document to line dedup and to the join and rows of
+their own to the classifier and the mix; columns besides doc_id, text, source and n_chars pass through unchanged, under whatever
+names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -48,8 +55,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encoding),
 ]
 
-#: A trained compressor, patience diffs and merges are not SQL.  Tests hold line_dedup's deletions against brute force and the
-#: other operators against small tables; the stages as such have no test.
+#: A trained compressor, patience diffs and merges are not SQL.  ``tests/llm/test_brute_force.py`` holds every stage against plain
+#: Python over all rows, ``tests/llm/test_edges.py`` runs them over nulls, empty and repeated rows and an empty table.
 ORACLE_SQL = None
 
 
