@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,9 +247,15 @@ def _todo(only: set[str] | None) -> list[PageRule]:
 _FETCHED = "url string, status_code int, x_robots_tag string, ttfb_ms int, is_html boolean, is_indexable boolean"
 
 
-def fields(only: set[str] | None = None) -> set[str]:
+def fields(only: set[str] | None = None) -> frozenset[str]:
     """The fields that the parser must find for these rules, or for all."""
-    return html.fields_of([_named(r) for r in _todo(only)], _FETCHED)
+    return _fields(frozenset(r.id for r in _todo(only)))
+
+
+@lru_cache(maxsize=None)
+def _fields(ids: frozenset[str]) -> frozenset[str]:
+    """Kept, since they hang on the rules alone, and analysis is not free."""
+    return frozenset(html.fields_of([_named(r) for r in _todo(set(ids))], _FETCHED))
 
 
 def evaluate(pages: DataFrame, only: set[str] | None = None) -> DataFrame:
