@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,50 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+#: What operators keep in a Python worker from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in this Python worker from task to task.  Workers go from one stage to the next, so what other
+    operators kept goes first: else it would add up to the memory of all of them."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
+def give_back() -> None:
+    """Return what Arrow has freed to the system; its pool would hold on to it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+
+
+def by_batches(owner: str, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``f`` for mapInArrow, with nothing of other operators or of past batches beside it in the worker's memory."""
+
+    def run(batches):
+        kept(owner)
+        give_back()
+        for out in f(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return run
+
+
+def by_groups(owner: str, f: Callable[[pa.Table], pa.Table]):
+    """``f`` for applyInArrow, likewise."""
+
+    def run(t):
+        kept(owner)
+        give_back()
+        return f(t)
+
+    return run
+
+
 def in_blocks(batches: Iterable[pa.RecordBatch], column: str, chars: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``chars`` bytes of ``column`` each and ``rows`` rows at most, so that memory follows
     these bounds and the longest single text, not the sizes of batches."""

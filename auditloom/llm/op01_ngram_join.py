@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import in_blocks, table
+from auditloom.llm.common import by_batches, by_groups, in_blocks, table
 from auditloom.operators.graph import connected_components
 from auditloom.plans.staging import Stages, release, stage
 
@@ -220,9 +220,9 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(24, -(-chars // BUCKET_CHARS))
-    dealt = docs.mapInArrow(_deal(buckets), "bucket int, batch long, h binary, d binary, n binary, meta binary")
-    counted = dealt.groupBy("bucket").applyInArrow(_count, "batch long, h binary, df binary, d binary, meta binary")
-    return stage(counted.groupBy("batch").applyInArrow(_prefixes(percent), "doc_id long, n long, f1 long, f2 long, m int, lone long, tokens array<bigint>"), "sets")
+    dealt = docs.mapInArrow(by_batches("op01", _deal(buckets)), "bucket int, batch long, h binary, d binary, n binary, meta binary")
+    counted = dealt.groupBy("bucket").applyInArrow(by_groups("op01", _count), "batch long, h binary, df binary, d binary, meta binary")
+    return stage(counted.groupBy("batch").applyInArrow(by_groups("op01", _prefixes(percent)), "doc_id long, n long, f1 long, f2 long, m int, lone long, tokens array<bigint>"), "sets")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import GAP, WORD, let, table
+from auditloom.llm.common import GAP, WORD, by_batches, let, table
 from auditloom.plans.staging import stage
 
 MIN_WORDS = 20
@@ -138,7 +138,7 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # what a document shares, in order: as long as the document at most
     of = lines.select("*", salt).join(held, ["h", "s"]).groupBy(doc.alias("doc")).agg(F.sort_array(F.collect_list(F.struct("at", "h", "w", "df"))).alias("ls"))
     of = stage(of, "lines")
-    found = of.mapInArrow(lambda batches: _runs_of(batches, least), "doc struct<o: int, i: long, t: long>, lo int, hi int, rare long, g long")
+    found = of.mapInArrow(by_batches("op05", lambda batches: _runs_of(batches, least)), "doc struct<o: int, i: long, t: long>, lo int, hi int, rare long, g long")
     # a run's key: its rarest line and, beside it, the whole run
     key = ["rare", "g"]
     first = found.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select(*key, "first")
@@ -240,7 +240,7 @@ def _aligned(pairs: DataFrame, of: DataFrame, least: int) -> DataFrame:
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], ["o", "i", "t", "gone"])
 
-    found = sides.select("later", "a", "b").mapInArrow(run, "o int, i long, t long, gone array<int>")
+    found = sides.select("later", "a", "b").mapInArrow(by_batches("op05", run), "o int, i long, t long, gone array<int>")
     return found.groupBy(F.struct("o", "i", "t").alias("doc")).agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import in_blocks, table
+from auditloom.llm.common import by_batches, in_blocks, kept, table
 
 #: How this family of vocabularies splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,10 +131,14 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(source: str) -> Encoder:
-    """One for each vocabulary and Python worker; its caches live on from task to task."""
-    return Encoder(source)
+    """One for the last vocabulary and each Python worker; its caches live on from task to task, until another operator runs
+    in the worker."""
+    mine = kept("op07")
+    if source not in mine:
+        mine.clear()
+        mine[source] = Encoder(source)
+    return mine[source]
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -167,7 +170,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
                 out.append(pa.array([enc.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids], type=pa.string()))
             yield pa.RecordBatch.from_arrays(out, schema.fieldNames())
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(by_batches("op07", run), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

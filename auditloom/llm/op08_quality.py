@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import crc_mod, in_blocks, table
+from auditloom.llm.common import by_batches, crc_mod, in_blocks, table
 
 #: Texts are compressed in pieces of so many bytes: with a short window the dictionary decides, not the text itself.
 PIECE = 4096
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             v = np.array([s.score(t.as_py()) for t in b.column("text")], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(v), pa.array((v >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(by_batches("op08", run), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -176,7 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for b in in_blocks(batches, "text", 8 << 20):
             yield b.filter(pa.array([s.score(t.as_py()) >= threshold for t in b.column(text_at)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(by_batches("op08", run), docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

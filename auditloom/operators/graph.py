@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from auditloom.plans.staging import Stages
 
+#: Edges to a task and file of a round's staged table.
+EDGES = 100_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph as (id, component), component being the smallest id reached.
@@ -22,7 +25,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     # v is the larger end, u the smaller one
     cur = st.put(cur.select(b.alias("v"), a.alias("u")).distinct(), "cc")
-    seen = None
+    rows, seen = cur.count(), None
     for _ in range(max_rounds):
         # large star: neighbours above v hang onto v's smallest neighbour
         both = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -32,10 +35,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         j = large.join(low, "v")
         nxt = j.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(j.select("v", F.col("m").alias("u")))
-        nxt = st.put(nxt.where("v != u").distinct(), "cc")
+        # a round has about as many edges as the one before: small tables are a few files, not one for each shuffle partition
+        nxt = st.put(nxt.where("v != u").distinct().coalesce(1 + rows // EDGES), "cc")
         state = nxt.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.countDistinct("v")).first()
         st.drop(cur)
-        cur = nxt
+        cur, rows = nxt, state[0]
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
