@@ -15,6 +15,7 @@ from auditloom.operators.depth import click_depth
 from auditloom.operators.near import near_duplicates
 from auditloom.operators.redirects import chains, cycles, final_status
 from auditloom.plans.model import Crawl, json_of
+from auditloom.plans.staging import stage
 
 c = F.col
 
@@ -135,7 +136,7 @@ def unreached(crawl: Crawl) -> DataFrame:
 @rule("INDEX-SECTION-DISCONNECTED", "high", whole=True)
 def section_disconnected(crawl: Crawl) -> DataFrame:
     home = crawl.urls.where(crawl.home).select(F.lit(1).alias("_k")).limit(1)  # one row, or none
-    u = unreached(crawl).withColumn("section", F.concat(F.lit("/"), F.regexp_extract(U.path(c("url")), "^/([^/]*)", 1)))
+    u = stage(unreached(crawl).withColumn("section", F.concat(F.lit("/"), F.regexp_extract(U.path(c("url")), "^/([^/]*)", 1))), "unreached")
     per = u.groupBy("section").agg(F.count("*").alias("n"))
     top = per.orderBy(F.desc("n"), "section").limit(3).agg(F.collect_list(F.struct("n", "section")).alias("_s"))
     first = u.orderBy("url").limit(K.SAMPLE).agg(F.array_sort(F.collect_list("url")).alias("examples"))
