@@ -18,6 +18,11 @@ def known() -> set[str]:
     return {r.id for r in page_rules.RULES} | {r.id for r in site_rules.RULES}
 
 
+def fields(only: set[str] | None = None) -> frozenset[str]:
+    """The fields that the parser must find for an audit by these rules, or by all."""
+    return page_rules.fields(only) | site_rules.fields(only)
+
+
 def check_overrides(overrides: dict) -> dict:
     """``{"disable": [...], "severity": {rule: severity}}``, ids in any case; unknown ids, and ids in both, are errors."""
     disable = {x.upper() for x in overrides.get("disable", [])}

@@ -26,6 +26,7 @@ class SiteRule:
     severity: str
     query: Callable[[Crawl], DataFrame]
     whole: bool = False  # makes no sense over a truncated crawl
+    reads: frozenset[str] = frozenset()  # of what the parser can find
 
     @property
     def category(self) -> str:
@@ -48,14 +49,19 @@ class SiteRule:
 RULES: list[SiteRule] = []
 
 
-def rule(id: str, severity: str, whole: bool = False):
+def rule(id: str, severity: str, whole: bool = False, reads: str = ""):
     def add(f: Callable[[Crawl], DataFrame]):
-        RULES.append(SiteRule(id, severity, f, whole))
+        RULES.append(SiteRule(id, severity, f, whole, frozenset(reads.split())))
         return f
 
     return add
 
 
+def fields(only: set[str] | None = None) -> frozenset[str]:
+    """The fields that the parser must find for these rules, or for all."""
+    return frozenset().union(*[r.reads for r in RULES if only is None or r.id in only])
+
+
 def by_id(id: str) -> SiteRule:
     return next(r for r in RULES if r.id == id)
 
@@ -77,7 +83,7 @@ def _robots() -> Column:
 
 
 # -- indexability ---------------------------------------------------------------------------------------------------
-@rule("INDEX-ROBOTS-BLOCKED", "critical")
+@rule("INDEX-ROBOTS-BLOCKED", "critical", reads="links")
 def robots_blocked(crawl: Crawl) -> DataFrame:
     n = crawl.inlinks().withColumnRenamed("internal_links_in", "linked_from")
     return _marked(crawl).where(c("is_internal") & _robots() & ~U.is_infrastructure(c("url"))).join(n, "url").select("url", "linked_from")
@@ -105,7 +111,7 @@ def orphans(crawl: Crawl) -> DataFrame:
     return p.join(crawl.links.select(c("to_url").alias("url")), "url", "left_anti").select("url")
 
 
-rule("INDEX-ORPHAN-PAGE", "high", whole=True)(orphans)
+rule("INDEX-ORPHAN-PAGE", "high", whole=True, reads="links")(orphans)
 
 
 def _seeds(crawl: Crawl) -> DataFrame:
@@ -123,7 +129,7 @@ def _indexable_linked(crawl: Crawl) -> DataFrame:
     return p.join(n, "url")
 
 
-@rule("INDEX-DEEP-PAGE", "medium", whole=True)
+@rule("INDEX-DEEP-PAGE", "medium", whole=True, reads="links hreflang")
 def deep_page(crawl: Crawl) -> DataFrame:
     deep = click_depth(crawl.links, _seeds(crawl)).where(c("depth") > K.DEEP_CLICKS)
     return _indexable_linked(crawl).join(deep, "url").where(F.lit(crawl.mode != "list")).select("url", c("depth").alias("click_depth"), F.lit(K.DEEP_CLICKS).alias("max_click_depth"))
@@ -133,7 +139,7 @@ def unreached(crawl: Crawl) -> DataFrame:
     return _indexable_linked(crawl).join(click_depth(crawl.links, _seeds(crawl)), "url", "left_anti").select("url")
 
 
-@rule("INDEX-SECTION-DISCONNECTED", "high", whole=True)
+@rule("INDEX-SECTION-DISCONNECTED", "high", whole=True, reads="links hreflang")
 def section_disconnected(crawl: Crawl) -> DataFrame:
     home = crawl.urls.where(crawl.home).select(F.lit(1).alias("_k")).limit(1)  # one row, or none
     u = stage(unreached(crawl).withColumn("section", F.concat(F.lit("/"), F.regexp_extract(U.path(c("url")), "^/([^/]*)", 1))), "unreached")
@@ -146,7 +152,7 @@ def section_disconnected(crawl: Crawl) -> DataFrame:
     return j.where((c("pages") > 0) & F.lit(crawl.mode != "list")).select(F.lit(None).cast("string").alias("url"), "pages", F.transform("_s", lambda s: s["section"]).alias("sections"), "examples", F.lit("section-disconnected").alias("group_key"))
 
 
-@rule("INDEX-NO-INTERNAL-LINKS-IN", "high", whole=True)
+@rule("INDEX-NO-INTERNAL-LINKS-IN", "high", whole=True, reads="links")
 def no_internal_links_in(crawl: Crawl) -> DataFrame:
     p = crawl.pages.where("is_indexable").select("url").join(crawl.urls.where(c("is_internal") & ~crawl.home).select("url"), "url", "left_semi")
     return p.join(crawl.links.select(c("to_url").alias("url")), "url", "left_anti").select("url")
@@ -177,19 +183,19 @@ def _targets(crawl: Crawl, when: Column, *elements: str, by: tuple[str, ...] = (
     return e.groupBy(c("to_url").alias("url"), "status_code", "error_kind", *by).agg(F.countDistinct("from_url").alias("linked_from"), F.min("from_url").alias("example_page"))
 
 
-@rule("HTTP-404-INTERNAL", "critical")
+@rule("HTTP-404-INTERNAL", "critical", reads="links")
 def http_404_internal(crawl: Crawl) -> DataFrame:
     return _targets(crawl, c("is_internal") & c("status_code").between(400, 499), "a").select("url", "status_code", "linked_from")
 
 
-@rule("HTTP-404-EXTERNAL", "medium")
+@rule("HTTP-404-EXTERNAL", "medium", reads="links")
 def http_404_external(crawl: Crawl) -> DataFrame:
     dns = c("status_code").isNull() & (c("error_kind") == "dns")
     t = _targets(crawl, ~c("is_internal") & (c("status_code").isin(404, 410) | F.coalesce(dns, F.lit(False))), "a")
     return t.select("url", "status_code", F.when(c("status_code").isNull(), c("error_kind")).alias("reason"), "linked_from")
 
 
-@rule("HTTP-EXTERNAL-UNVERIFIABLE", "low")
+@rule("HTTP-EXTERNAL-UNVERIFIABLE", "low", reads="links")
 def http_external_unverifiable(crawl: Crawl) -> DataFrame:
     return _targets(crawl, ~c("is_internal") & c("status_code").isin(401, 403, 429), "a").select("url", "status_code", "linked_from")
 
@@ -221,7 +227,7 @@ def http_no_https(crawl: Crawl) -> DataFrame:
 
 
 # -- meta and duplicates --------------------------------------------------------------------------------------------
-@rule("META-TITLE-DUPLICATE", "high")
+@rule("META-TITLE-DUPLICATE", "high", reads="title")
 def meta_title_duplicate(crawl: Crawl) -> DataFrame:
     own = lambda: F.coalesce(F.nullif(U.pagination_base(U.path(c("url"))), F.lit("")), F.regexp_replace(U.path(c("url")), "/$", ""))
     p = crawl.pages.where(c("is_indexable") & (F.trim("title") != ""))
@@ -231,7 +237,7 @@ def meta_title_duplicate(crawl: Crawl) -> DataFrame:
     return p.select("url", "title").join(n, c("title") == c("_x")).select("url", "title", "pages", series.alias("pagination_series"), F.when(series, "low").otherwise("high").alias("severity"), F.concat(F.lit("title:"), F.md5("title")).alias("group_key"))
 
 
-@rule("META-DESC-DUPLICATE", "medium")
+@rule("META-DESC-DUPLICATE", "medium", reads="meta_description")
 def meta_desc_duplicate(crawl: Crawl) -> DataFrame:
     p = crawl.pages.where(c("is_indexable") & (F.trim("meta_description") != ""))
     n = p.groupBy(c("meta_description").alias("_x")).agg(F.count("*").alias("pages")).where("pages > 1")
@@ -244,17 +250,17 @@ def _canonical(crawl: Crawl) -> DataFrame:
     return crawl.pages.select("url", "canonical").where("canonical != url").join(t, "canonical")
 
 
-@rule("CANON-TO-4XX", "critical")
+@rule("CANON-TO-4XX", "critical", reads="canonical")
 def canon_to_4xx(crawl: Crawl) -> DataFrame:
     return _canonical(crawl).where(gone(c("status"), c("target_internal"))).select("url", "canonical", "status")
 
 
-@rule("CANON-TO-REDIRECT", "high")
+@rule("CANON-TO-REDIRECT", "high", reads="canonical")
 def canon_to_redirect(crawl: Crawl) -> DataFrame:
     return _canonical(crawl).where(c("status").between(300, 399) | c("redirects_to").isNotNull()).select("url", "canonical", "status", "redirects_to")
 
 
-@rule("CANON-TO-NOINDEX", "critical")
+@rule("CANON-TO-NOINDEX", "critical", reads="canonical meta_robots")
 def canon_to_noindex(crawl: Crawl) -> DataFrame:
     says = lambda x: F.coalesce(F.lower(x).contains("noindex"), F.lit(False))
     header = c("x_robots_tag") if "x_robots_tag" in crawl.pages.columns else F.lit(None).cast("string")
@@ -262,21 +268,21 @@ def canon_to_noindex(crawl: Crawl) -> DataFrame:
     return crawl.pages.select("url", "canonical").where("canonical != url").join(t, "canonical").select("url", "canonical", F.when(says(c("m")), c("m")).otherwise(c("x")).alias("directive"))
 
 
-@rule("CANON-CHAIN", "high")
+@rule("CANON-CHAIN", "high", reads="canonical")
 def canon_chain(crawl: Crawl) -> DataFrame:
     own = crawl.pages.select("url", "canonical").where("canonical != url")
     nxt = own.select(c("url").alias("canonical"), c("canonical").alias("then"))
     return own.join(nxt, "canonical").join(crawl.urls.select(c("url").alias("then")), "then", "left_semi").select("url", "canonical", "then")
 
 
-@rule("DUP-CONTENT-EXACT", "high")
+@rule("DUP-CONTENT-EXACT", "high", reads="html_hash")
 def dup_content_exact(crawl: Crawl) -> DataFrame:
     p = crawl.pages.where("is_indexable").select("url", "html_hash")
     n = p.groupBy("html_hash").agg(F.count("*").alias("pages")).where("pages > 1")
     return p.join(n, "html_hash").select("url", "pages", F.concat(F.lit("html:"), "html_hash").alias("group_key"))
 
 
-@rule("DUP-CONTENT-NEAR", "medium")
+@rule("DUP-CONTENT-NEAR", "medium", reads="text_minhash html_hash hreflang")
 def dup_content_near(crawl: Crawl) -> DataFrame:
     p = crawl.pages.where("is_indexable")
     alt = p.select(c("url").alias("a"), F.explode("hreflang").alias("h")).select("a", c("h.url").alias("b"))
@@ -286,7 +292,7 @@ def dup_content_near(crawl: Crawl) -> DataFrame:
 
 
 # -- assets ---------------------------------------------------------------------------------------------------------
-@rule("ASSET-IMG-BROKEN", "high")
+@rule("ASSET-IMG-BROKEN", "high", reads="links")
 def asset_img_broken(crawl: Crawl) -> DataFrame:
     return _targets(crawl, gone(), "img").select("url", "status_code", c("linked_from").alias("used_by_pages"))
 
@@ -296,22 +302,22 @@ def _heavy(crawl: Crawl, element: str, limit: int, own: bool) -> DataFrame:
     return _targets(crawl, when, element, by=("content_length",)).select("url", c("content_length").alias("bytes"), F.lit(limit).alias("limit_bytes"), c("linked_from").alias("used_by_pages"))
 
 
-@rule("ASSET-IMG-HEAVY", "medium")
+@rule("ASSET-IMG-HEAVY", "medium", reads="links")
 def asset_img_heavy(crawl: Crawl) -> DataFrame:
     return _heavy(crawl, "img", K.HEAVY_IMAGE, own=False)
 
 
-@rule("ASSET-JS-HEAVY", "medium")
+@rule("ASSET-JS-HEAVY", "medium", reads="links")
 def asset_js_heavy(crawl: Crawl) -> DataFrame:
     return _heavy(crawl, "script", K.HEAVY_JS, own=True).drop("used_by_pages")
 
 
-@rule("ASSET-CSS-HEAVY", "medium")
+@rule("ASSET-CSS-HEAVY", "medium", reads="links")
 def asset_css_heavy(crawl: Crawl) -> DataFrame:
     return _heavy(crawl, "link", K.HEAVY_CSS, own=True).drop("used_by_pages")
 
 
-@rule("ASSET-BROKEN", "high")
+@rule("ASSET-BROKEN", "high", reads="links")
 def asset_broken(crawl: Crawl) -> DataFrame:
     return _targets(crawl, gone(), "link", "script", by=("element",)).select("url", "status_code", c("element").alias("kind"), c("linked_from").alias("used_by_pages"))
 
@@ -320,12 +326,12 @@ def _embed(crawl: Crawl, element: str) -> DataFrame:
     return _targets(crawl, c("is_internal") & (c("status_code") >= 400), element).select("url", c("status_code").alias("status"), c("linked_from").alias("used_by_pages"), "example_page")
 
 
-@rule("ASSET-IFRAME-BROKEN", "high")
+@rule("ASSET-IFRAME-BROKEN", "high", reads="links")
 def asset_iframe_broken(crawl: Crawl) -> DataFrame:
     return _embed(crawl, "iframe")
 
 
-@rule("ASSET-FORM-BROKEN", "critical")
+@rule("ASSET-FORM-BROKEN", "critical", reads="links")
 def asset_form_broken(crawl: Crawl) -> DataFrame:
     return _embed(crawl, "form")
 
@@ -338,7 +344,7 @@ def _alternates(crawl: Crawl) -> DataFrame:
     return each.select("url", "is_indexable", "h.code", t.alias("target"), U.url_key(t).alias("key"), U.url_key(c("url")).alias("own"))
 
 
-@rule("HREFLANG-NOT-RECIPROCAL", "high")
+@rule("HREFLANG-NOT-RECIPROCAL", "high", reads="hreflang")
 def hreflang_not_reciprocal(crawl: Crawl) -> DataFrame:
     a = _alternates(crawl)
     asked = a.where("is_indexable AND key != own").select("url", "own", "code", "target", "key").dropDuplicates(["url", "key"])
@@ -351,7 +357,7 @@ def hreflang_not_reciprocal(crawl: Crawl) -> DataFrame:
     return j.select("url", "code", "target", F.when(c("n") > 0, "missing_return").otherwise("no_alternates").alias("reason"), pair.alias("group_key"))
 
 
-@rule("HREFLANG-TO-4XX", "critical")
+@rule("HREFLANG-TO-4XX", "critical", reads="hreflang")
 def hreflang_to_4xx(crawl: Crawl) -> DataFrame:
     t = crawl.urls.select(c("url").alias("target"), "status_code", "is_internal")
     bad = (c("is_internal") & c("status_code").between(400, 499)) | (~c("is_internal") & c("status_code").isin(404, 410))
@@ -359,14 +365,14 @@ def hreflang_to_4xx(crawl: Crawl) -> DataFrame:
 
 
 # -- social and links -----------------------------------------------------------------------------------------------
-@rule("SOCIAL-OG-IMAGE-BROKEN", "medium")
+@rule("SOCIAL-OG-IMAGE-BROKEN", "medium", reads="links")
 def social_og_image_broken(crawl: Crawl) -> DataFrame:
     used = crawl.links.where("element = 'meta'").groupBy(c("to_url").alias("url")).agg(F.countDistinct("from_url").alias("used_by_pages"), F.min("from_url").alias("example_page"))
     dns = F.coalesce(~c("is_internal") & c("status_code").isNull() & (c("error_kind") == "dns"), F.lit(False))
     return used.join(final_status(crawl.urls), "url").where(gone() | dns).select("url", "used_by_pages", "example_page", "status_code", F.when(c("status_code").isNull(), c("error_kind")).alias("reason"), F.when(c("hops") > 0, c("final_url")).alias("final_url"), F.nullif("hops", F.lit(0)).alias("hops"))
 
 
-@rule("LINK-FRAGMENT-BROKEN", "low")
+@rule("LINK-FRAGMENT-BROKEN", "low", reads="links ids")
 def link_fragment_broken(crawl: Crawl) -> DataFrame:
     ids = crawl.pages.where((c("status_code") == 200) & (F.size("ids") > 0)).join(crawl.urls.where("is_internal").select("url"), "url", "left_semi").select(c("url").alias("to_url"), "ids")
     good = crawl.pages.where(c("status_code").between(200, 299) & ~U.is_infrastructure(c("url"))).select(c("url").alias("from_url"))
