@@ -78,20 +78,22 @@ def _marked(crawl: Crawl) -> DataFrame:
     return crawl.urls.join(p, "url", "left")
 
 
-def _robots() -> Column:
-    return F.coalesce((c("exclusion_reason") == "robots") | (c("indexability_reason") == "robots"), F.lit(False))
+def _blocked(crawl: Crawl) -> DataFrame:
+    """Rows of ``urls`` that robots files keep out, each once however many pages the crawl has of its URL."""
+    p = crawl.pages.where("indexability_reason = 'robots'").select("url", F.lit(True).alias("_page")).distinct()
+    return crawl.urls.join(p, "url", "left").where((c("exclusion_reason") == "robots") | c("_page"))
 
 
 # -- indexability ---------------------------------------------------------------------------------------------------
 @rule("INDEX-ROBOTS-BLOCKED", "critical", reads="links")
 def robots_blocked(crawl: Crawl) -> DataFrame:
-    n = crawl.inlinks().withColumnRenamed("internal_links_in", "linked_from")
-    return _marked(crawl).where(c("is_internal") & _robots() & ~U.is_infrastructure(c("url"))).join(n, "url").select("url", "linked_from")
+    blocked = _blocked(crawl).where(c("is_internal") & ~U.is_infrastructure(c("url")))
+    return crawl.inlinks().join(blocked.select("url"), "url", "left_semi").select("url", c("internal_links_in").alias("linked_from"))
 
 
 @rule("INDEX-BLOCKED-IN-SITEMAP", "critical")
 def blocked_in_sitemap(crawl: Crawl) -> DataFrame:
-    return _marked(crawl).where(c("in_sitemap") & _robots()).select("url")
+    return _blocked(crawl).where("in_sitemap").select("url")
 
 
 @rule("INDEX-NOINDEX-IN-SITEMAP", "critical")
