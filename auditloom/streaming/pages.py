@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from auditloom.operators import page_rules
-from auditloom.operators.merge import merge_urls
+from auditloom.operators.merge import newest_urls
 from auditloom.plans.model import indexability
 from auditloom.functions import text as X
 from auditloom.sources import html
@@ -44,7 +44,7 @@ def upsert(fetches: DataFrame, folder: str, checkpoint: str, available_now: bool
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         old = latest(spark, folder)
-        both = merge_urls(batch.limit(0) if old is None else old, batch)
+        both = newest_urls(batch if old is None else old.unionByName(batch))
         both.write.mode("overwrite").parquet(f"{folder}/v={n}")
 
     w = fetches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

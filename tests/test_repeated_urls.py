@@ -26,3 +26,7 @@ def agrees(spark, name, folder):
 @pytest.mark.parametrize("name", ["index_robots_blocked", "index_blocked_in_sitemap"])
 def test_blocked(spark, folder, name):
     agrees(spark, name, folder)
+
+
+def test_merge(spark, folder):
+    agrees(spark, "merge_urls", folder)
