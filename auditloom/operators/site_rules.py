@@ -27,6 +27,7 @@ class SiteRule:
     query: Callable[[Crawl], DataFrame]
     whole: bool = False  # makes no sense over a truncated crawl
     reads: frozenset[str] = frozenset()  # of what the parser can find
+    by_target: bool = False  # its rows are by URL and status, its findings by URL
 
     @property
     def category(self) -> str:
@@ -36,7 +37,7 @@ class SiteRule:
         """Findings of this rule: url (null for the site), severity, group_key and details from the query's columns."""
         df = self.query(crawl)
         extra = [x for x in df.columns if x not in ("url", "severity", "group_key")]
-        return df.select(
+        out = df.select(
             F.lit(self.id).alias("rule_id"),
             (c("severity") if "severity" in df.columns else F.lit(self.severity)).alias("severity"),
             F.lit(self.category).alias("category"),
@@ -44,14 +45,18 @@ class SiteRule:
             (c("group_key") if "group_key" in df.columns else F.lit("")).alias("group_key"),
             json_of(**{x: c(x) for x in extra}).alias("detail_json"),
         )
+        if self.by_target:  # a URL with several answers is one finding, of the first
+            keys = [x for x in out.columns if x != "detail_json"]
+            out = out.groupBy(*keys).agg(F.min("detail_json").alias("detail_json"))
+        return out
 
 
 RULES: list[SiteRule] = []
 
 
-def rule(id: str, severity: str, whole: bool = False, reads: str = ""):
+def rule(id: str, severity: str, whole: bool = False, reads: str = "", by_target: bool = False):
     def add(f: Callable[[Crawl], DataFrame]):
-        RULES.append(SiteRule(id, severity, f, whole, frozenset(reads.split())))
+        RULES.append(SiteRule(id, severity, f, whole, frozenset(reads.split()), by_target))
         return f
 
     return add
@@ -185,19 +190,19 @@ def _targets(crawl: Crawl, when: Column, *elements: str, by: tuple[str, ...] = (
     return e.groupBy(c("to_url").alias("url"), "status_code", "error_kind", *by).agg(F.countDistinct("from_url").alias("linked_from"), F.min("from_url").alias("example_page"))
 
 
-@rule("HTTP-404-INTERNAL", "critical", reads="links")
+@rule("HTTP-404-INTERNAL", "critical", reads="links", by_target=True)
 def http_404_internal(crawl: Crawl) -> DataFrame:
     return _targets(crawl, c("is_internal") & c("status_code").between(400, 499), "a").select("url", "status_code", "linked_from")
 
 
-@rule("HTTP-404-EXTERNAL", "medium", reads="links")
+@rule("HTTP-404-EXTERNAL", "medium", reads="links", by_target=True)
 def http_404_external(crawl: Crawl) -> DataFrame:
     dns = c("status_code").isNull() & (c("error_kind") == "dns")
     t = _targets(crawl, ~c("is_internal") & (c("status_code").isin(404, 410) | F.coalesce(dns, F.lit(False))), "a")
     return t.select("url", "status_code", F.when(c("status_code").isNull(), c("error_kind")).alias("reason"), "linked_from")
 
 
-@rule("HTTP-EXTERNAL-UNVERIFIABLE", "low", reads="links")
+@rule("HTTP-EXTERNAL-UNVERIFIABLE", "low", reads="links", by_target=True)
 def http_external_unverifiable(crawl: Crawl) -> DataFrame:
     return _targets(crawl, ~c("is_internal") & c("status_code").isin(401, 403, 429), "a").select("url", "status_code", "linked_from")
 
@@ -294,7 +299,7 @@ def dup_content_near(crawl: Crawl) -> DataFrame:
 
 
 # -- assets ---------------------------------------------------------------------------------------------------------
-@rule("ASSET-IMG-BROKEN", "high", reads="links")
+@rule("ASSET-IMG-BROKEN", "high", reads="links", by_target=True)
 def asset_img_broken(crawl: Crawl) -> DataFrame:
     return _targets(crawl, gone(), "img").select("url", "status_code", c("linked_from").alias("used_by_pages"))
 
@@ -328,12 +333,12 @@ def _embed(crawl: Crawl, element: str) -> DataFrame:
     return _targets(crawl, c("is_internal") & (c("status_code") >= 400), element).select("url", c("status_code").alias("status"), c("linked_from").alias("used_by_pages"), "example_page")
 
 
-@rule("ASSET-IFRAME-BROKEN", "high", reads="links")
+@rule("ASSET-IFRAME-BROKEN", "high", reads="links", by_target=True)
 def asset_iframe_broken(crawl: Crawl) -> DataFrame:
     return _embed(crawl, "iframe")
 
 
-@rule("ASSET-FORM-BROKEN", "critical", reads="links")
+@rule("ASSET-FORM-BROKEN", "critical", reads="links", by_target=True)
 def asset_form_broken(crawl: Crawl) -> DataFrame:
     return _embed(crawl, "form")
 

@@ -11,10 +11,11 @@ from tests.oracle import same
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    """600 pages of sf0.1, every other one under the URL of an earlier one, and titles with entities."""
+    """900 pages of sf0.1, two in three under the URL of an earlier one, with entities in titles and titles in common."""
     out = tmp_path_factory.mktemp("repeated")
-    q = """SELECT a.page_id, b.url, replace(a.html, '<title>', CASE WHEN a.page_id % 5 = 2 THEN '<title>&amp;&amp; ' ELSE '<title>' END) AS html
-    FROM '/root/testdata/sf0.1/pages.parquet' a JOIN '/root/testdata/sf0.1/pages.parquet' b ON b.page_id = CASE WHEN a.page_id % 2 = 1 THEN (a.page_id * 7) % 150 ELSE a.page_id END WHERE a.page_id < 600"""
+    title = "CASE WHEN a.page_id % 5 = 2 THEN '<title>&amp;&amp; ' WHEN a.page_id % 5 = 3 THEN '<title>Common ' || b.page_id % 9 || '</title><title>' ELSE '<title>' END"
+    q = f"""SELECT a.page_id, b.url, replace(a.html, '<title>', {title}) AS html
+    FROM '/root/testdata/sf0.1/pages.parquet' a JOIN '/root/testdata/sf0.1/pages.parquet' b ON b.page_id = CASE WHEN a.page_id % 3 > 0 THEN (a.page_id * 11) % 140 ELSE a.page_id END WHERE a.page_id < 900"""
     duckdb.sql(f"COPY ({q}) TO '{out}/pages.parquet' (FORMAT parquet)")
     return str(out)
 
@@ -34,3 +35,20 @@ def test_merge(spark, folder):
 
 def test_written_titles(spark, folder):
     agrees(spark, "page_meta_title_too_short", folder)
+
+
+@pytest.mark.parametrize("name", ["diff_issues", "diff_gate", "portfolio_changes", "issue_summary_view", "portfolio_severity", "persisted_pairs"])
+def test_findings(spark, folder, name):
+    agrees(spark, name, folder)
+
+
+def test_one_finding_a_target(spark, folder):
+    """A URL with two answers of the 4xx class is two rows of the query and one finding."""
+    c = derived.crawl(spark, folder)
+    two = c.urls.where("is_internal").limit(1).select("url").first()["url"]
+    from dataclasses import replace
+
+    urls = spark.createDataFrame([(two, s, True, None, None, None) for s in (404, 410)], "url string, status_code int, is_internal boolean, error_kind string, redirect_to string, content_length long")
+    links = spark.createDataFrame([("p", two, "a")], "from_url string, to_url string, element string")
+    r, c = site_rules.by_id("HTTP-404-INTERNAL"), replace(c, urls=urls, links=links)
+    assert r.query(c).count() == 2 and [x["url"] for x in r.evaluate(c).collect()] == [two]
