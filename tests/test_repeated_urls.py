@@ -52,3 +52,8 @@ def test_one_finding_a_target(spark, folder):
     links = spark.createDataFrame([("p", two, "a")], "from_url string, to_url string, element string")
     r, c = site_rules.by_id("HTTP-404-INTERNAL"), replace(c, urls=urls, links=links)
     assert r.query(c).count() == 2 and [x["url"] for x in r.evaluate(c).collect()] == [two]
+
+
+@pytest.mark.parametrize("name", ["broken_links_view", "http_redirect_chain", "http_redirect_to_404", "http_redirect_loop"])
+def test_redirects(spark, folder, name):
+    agrees(spark, name, folder)
